@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests, format_examples
 from .exact_dedup import exact_dedup
+from .language_id import fit_ppm, predict_language, remainder
+from .packing import pack, tokenize_pieces
 from .secrets import scan_secrets, spans_text
+from .simhash import simhash_components
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +28,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_examples(table.unionByName(own)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -39,6 +47,26 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    learn = docs.where(remainder(F.col("doc_id")) != 1).select("doc_id", "text", "lang")
+    return predict_language(docs.select("doc_id", "text"), fit_ppm(learn)).select(
+        "doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def tokenizer_path() -> str:
+    from public_tokenizers import path
+
+    return path("byte_bpe_50k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenize_pieces(_read(spark, sf_dir, "documents"), tokenizer_path())
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -47,7 +75,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_simhash": op3_simhash,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
