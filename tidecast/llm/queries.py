@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_by_partitions
 from .chat_format import conversation_digests, format_examples
 from .exact_dedup import exact_dedup
 from .language_id import fit_ppm, predict_language, remainder
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .packing import pack, tokenize_pieces
 from .secrets import scan_secrets, spans_text
 from .simhash import simhash_components
@@ -29,6 +32,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_examples(table.unionByName(own)))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_partitions(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,10 +55,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_training_rows(docs: DataFrame) -> DataFrame:
+    """Rows that may be learned from: not held out."""
+    return docs.where(remainder(F.col("doc_id")) != 1).select("doc_id", "text", "lang")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    learn = docs.where(remainder(F.col("doc_id")) != 1).select("doc_id", "text", "lang")
-    return predict_language(docs.select("doc_id", "text"), fit_ppm(learn)).select(
+    return predict_language(docs.select("doc_id", "text"), fit_ppm(op5_training_rows(docs))).select(
         "doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score"
     )
 
@@ -80,14 +91,39 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    return kept.select("doc_id", lines.cast("bigint").alias("n_lines"), "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mix_sources(docs, max_repeats=2.0)
+    return mixed.select(
+        "doc_id", "source", "mix_epoch", F.col("mix_order.block_order").alias("block_order"),
+        F.col("mix_order.row_order").alias("row_order"), F.col("mix_tokens").alias("n_tokens"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_simhash": op3_simhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 #: What formatting adds to a turn: its marks, and what escaping adds to role and text.
