@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from ._common import scratch_path, written
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without space set aside for the logs of each of its many small stores.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _KEEPER = "struct<id:bigint,file:string,row:bigint>"
 
 
@@ -75,8 +78,9 @@ def keepers_by_stream(
         # A batch that is run again after a failure replaces its own folder.
         batch.write.mode("overwrite").parquet(f"{home}/updates/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -87,7 +91,8 @@ def keepers_by_stream(
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest binary, n bigint, keeper {_KEEPER}, batch int"
     empty = spark.createDataFrame([], schema)
     if query.lastProgress is None or not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
