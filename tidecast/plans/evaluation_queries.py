@@ -198,7 +198,7 @@ FROM k JOIN mo USING (target, horizon, model) GROUP BY 1, 2, 3""", "ljung_box mc
 query("test_fluctuation", D + f", m AS (SELECT *, CASE WHEN count(d) OVER w = 12 THEN avg(d) OVER w END AS m FROM d WINDOW w AS ({WD} ROWS 11 PRECEDING)) SELECT {G}, count(d) AS n, sqrt(12) * max(abs(m)) / sqrt(CASE WHEN sum(d * d) > 0 THEN sum(d * d) / (count(d) - 1) END) AS statistic FROM m GROUP BY ALL", "statistic")(
     lambda s, d: tests.fluctuation_statistics(forecasts(s, d), "naive", 12)
 )
-_PV = D + _hac("d", "acf") + f", p0 AS (SELECT {G}, exp(-(mean / sqrt(lrv / n)) ^ 2 / 2) AS p_value FROM h WHERE lrv > 0), p AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM p0)"
+_PV = D + _hac("d", "acf") + f", p0 AS (SELECT {G}, exp(-((mean / sqrt(lrv / n)) ^ 2) / 2) AS p_value FROM h WHERE lrv > 0), p AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM p0)"
 
 
 def _pvalues(s, d):

@@ -1 +1,128 @@
-"""Models, searches and interpretation."""
+"""Models, studies, factors, searches, interpretation and event panels."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import factors, interpret, runner
+from ..operators.features import lag
+from ..operators.kernels import MODELS
+from .bases import ORDER_LONG_SQL, P, order_long, order_panel, ship_panel, table
+from .registry import query
+
+L = f"WITH {ORDER_LONG_SQL} "
+W = "PARTITION BY series ORDER BY date"
+
+
+def _long(spark, sf_dir):
+    return order_long(spark, sf_dir).select(F.col("series").alias("target"), "date", F.col("value").alias("y"))
+
+
+_SUPERVISED = [n for n, m in MODELS.items() if m.kind == "supervised" and m.family not in ("gated", "tree", "spline", "neural")]
+for _n in _SUPERVISED:
+    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
+for _n in [n for n, m in MODELS.items() if m.kind == "target"]:
+    query(f"model_{_n}_path")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (3,), 60, step=6).drop("model"))
+for _n in ("decision_tree", "random_forest", "extra_trees", "gradient_boosting", "quantile_regression_forest", "macro_random_forest", "mars", "nn"):
+    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d).where("target = 'p1'"), [runner.Arm(n, n)], (1,), 72, step=3).drop("model"))
+
+# Closed forms that SQL can check: the runner against window aggregates.
+_PAST = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_RUN = L + f", n AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, lag(value) OVER ({W}) AS x, lag(date) OVER ({W}) AS origin FROM olong), "
+_COLS = "series AS target, 1 AS horizon, origin, CAST(pos - 1 AS INT) AS origin_pos, date, '{0}' AS arm, {1} AS prediction, value AS actual, 'direct' AS forecast_policy, CAST(NULL AS VARCHAR) AS error"
+query("run_ols_ar1", _RUN + f"r AS (SELECT *, regr_intercept(value, x) OVER {_PAST} + regr_slope(value, x) OVER {_PAST} * x AS p FROM n) SELECT {_COLS.format('ar1', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
+    lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ar1", "ols", lags=1)], (1,), 36).drop("model")
+)
+query("run_ridge_ar1", _RUN + f"r AS (SELECT *, avg(value) OVER w + regr_sxy(value, x) OVER w / (regr_sxx(value, x) OVER w + 1) * (x - avg(x) OVER w) AS p, row_number() OVER ({W}) AS k FROM n WHERE x IS NOT NULL WINDOW w AS {_PAST}) SELECT {_COLS.format('ridge1', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
+    lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ridge1", "ridge", {"alpha": 1.0}, lags=1)], (1,), 36).drop("model")
+)
+query("run_hist_mean", _RUN + f"r AS (SELECT *, avg(value) OVER {_PAST} AS p FROM n) SELECT {_COLS.format('mean', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
+    lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("mean", "hist_mean")], (1,), 36).drop("model")
+)
+query("run_recursive")(lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("rec", "ols", {}, "recursive")], (3,), 48).drop("model"))
+query("run_path_average")(lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("path", "ridge", {}, "path_average")], (3,), 48).drop("model"))
+_ARMS = [runner.Arm("naive", "naive"), runner.Arm("ols", "ols"), runner.Arm("ridge", "ridge"), runner.Arm("pcr", "pcr"), runner.Arm("ar_bic", "ar_bic")]
+query("pipeline_master")(lambda s, d: runner.run_arms(_long(s, d), _ARMS, (1, 3), 48))
+query("pipeline_accuracy")(lambda s, d: runner.evaluate(runner.run_arms(_long(s, d), _ARMS, (1,), 48), runner.EvalSpec("naive", combinations=("mean",)))["ranking"])
+query("pipeline_significance")(lambda s, d: runner.evaluate(runner.run_arms(_long(s, d), _ARMS, (1,), 48), runner.EvalSpec("naive"))["significance"])
+
+
+def _features(s, d):
+    return lag(order_panel(s, d), P, (1, 2)).dropna("any")
+
+
+_X = [f"{p}_lag{k}" for p in P for k in (1, 2)]
+query("search_grid")(
+    lambda s, d: runner.select_params(_features(s, d), "ridge", _X, "p1", runner.candidates({"alpha": [0.1, 1.0, 10.0, 100.0]}), [(0, 40, 40, 50), (0, 50, 50, 60), (0, 60, 60, 70)]).select("trial", "score", "best")
+)
+for _k in ("bagging", "subagging", "random_subspace"):
+    query(f"ensemble_{_k}")(lambda s, d, k=_k: runner.ensemble(_features(s, d), "ridge", _X, "p1", 60, k))
+
+# Factors and filters.
+query("impute_em_factor")(
+    lambda s, d: factors.em_factor_impute(ship_panel(s, d).where("series IN ('s1', 's2', 's3', 's4', 's5', 's6')").groupBy("date").pivot("series", ["s1", "s2", "s3", "s4", "s5", "s6"]).agg(F.first("value")), n_factors=2)
+)
+query("features_pca_expanding")(lambda s, d: factors.pca_features(order_panel(s, d), P, 2))
+query("features_dfm")(lambda s, d: factors.dfm_features(order_panel(s, d), 2, columns=P))
+query("features_maf")(lambda s, d: factors.maf_features(order_panel(s, d), "p1", 6, 2))
+query("filter_hp")(lambda s, d: factors.hp_filter(order_long(s, d), "value", by=("series",)))
+query("filter_hamilton")(lambda s, d: factors.hamilton_filter(order_long(s, d), "value", by=("series",)))
+query("filter_stl")(lambda s, d: factors.stl_decompose(order_long(s, d), "value", by=("series",)))
+query("filter_albama")(lambda s, d: factors.albama(order_long(s, d).where("series = 'p1'"), "value", 30))
+query("filter_hamilton_one_lag", L + f""", x AS (SELECT series, date, value, lag(value, 8) OVER ({W}) AS b FROM olong)
+SELECT series, date, CASE WHEN b IS NOT NULL THEN i + k * b END AS trend, CASE WHEN b IS NOT NULL THEN value - i - k * b END AS cycle FROM x JOIN (SELECT series, regr_intercept(value, b) AS i, regr_slope(value, b) AS k FROM x GROUP BY 1) USING (series)""", "trend cycle")(
+    lambda s, d: factors.hamilton_filter(order_long(s, d), "value", 8, 1, by=("series",))
+)
+query("analysis_stationarity")(lambda s, d: factors.stationarity_tests(order_long(s, d)))
+
+# Interpretation.
+_C = {"p2": 0.5, "p3": -0.25, "p4": 0.1}
+query("interpret_linear_shap", L + "SELECT date, series AS feature, CASE series WHEN 'p2' THEN 0.5 WHEN 'p3' THEN -0.25 ELSE 0.1 END * (value - avg(value) OVER (PARTITION BY series)) AS shap FROM olong WHERE series IN ('p2', 'p3', 'p4')", "shap")(
+    lambda s, d: interpret.shap_linear(order_panel(s, d), _C)
+)
+query("interpret_shap_importance", L + "SELECT feature, avg(abs(shap)) AS importance FROM (SELECT date, series AS feature, CASE series WHEN 'p2' THEN 0.5 WHEN 'p3' THEN -0.25 ELSE 0.1 END * (value - avg(value) OVER (PARTITION BY series)) AS shap FROM olong WHERE series IN ('p2', 'p3', 'p4')) GROUP BY 1", "importance")(
+    lambda s, d: interpret.shapley_variable_importance(interpret.shap_linear(order_panel(s, d), _C))
+)
+query("interpret_decomposition", L + "SELECT date, series AS feature, CASE series WHEN 'p2' THEN 0.5 WHEN 'p3' THEN -0.25 ELSE 0.1 END * value AS contribution FROM olong WHERE series IN ('p2', 'p3', 'p4')", "contribution")(
+    lambda s, d: interpret.forecast_decomposition(order_panel(s, d), _C)
+)
+query("interpret_group_aggregate", L + "SELECT date, CASE WHEN series IN ('p2', 'p3') THEN 'a' ELSE 'other' END AS \"group\", sum(CASE series WHEN 'p2' THEN 0.5 WHEN 'p3' THEN -0.25 ELSE 0.1 END * value) AS contribution FROM olong WHERE series IN ('p2', 'p3', 'p4') GROUP BY 1, 2", "contribution")(
+    lambda s, d: interpret.group_aggregate(interpret.forecast_decomposition(order_panel(s, d), _C), {"p2": "a", "p3": "a"}, "contribution", ("date",))
+)
+
+
+def _weights(s, d):
+    """Observation weights proportional to the value of each priority in each month."""
+    from pyspark.sql import Window
+
+    w = F.col("value") / F.sum("value").over(Window.partitionBy("date"))
+    return order_long(s, d).select("date", F.col("series").alias("source_date"), (w - 0.15).alias("weight"))
+
+
+_WT = L + ", w AS (SELECT date, series AS source_date, value / sum(value) OVER (PARTITION BY date) - 0.15 AS weight FROM olong)"
+query("interpret_top_observations", _WT + " SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY abs(weight) DESC, source_date) AS INT) AS rank FROM w QUALIFY rank <= 2", "weight")(
+    lambda s, d: interpret.top_observations(_weights(s, d), 2)
+)
+query("interpret_weight_diagnostics", _WT + ", t AS (SELECT *, abs(weight - lag(weight) OVER (PARTITION BY source_date ORDER BY date)) AS d FROM w) SELECT date, sum(weight ^ 2) AS hhi, sum(abs(weight)) AS leverage, sum(greatest(-weight, 0)) AS short, sum(weight) AS total, sum(d) AS turnover FROM t GROUP BY 1", "hhi leverage short total turnover")(
+    lambda s, d: interpret.data_portfolio_diagnostics(_weights(s, d))
+)
+
+
+def _attention(s, d):
+    f = _features(s, d).orderBy("date").toPandas()  # one small panel, one model
+    w = interpret.ols_attention_weights(f[_X].to_numpy()[:60], f[_X].to_numpy()[60:], 1e-8)
+    return s.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(w)], "test_row int, train_row int, weight double")
+
+
+query("interpret_attention_weights")(_attention)
+
+# Event panels: the batch form of the streaming queries.
+query("events_tumbling_panel", "SELECT date_trunc('hour', ts) AS start, event_type, sum(value) AS total, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2", "total mean")(
+    lambda s, d: table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+)
+query("events_sessions", """WITH e AS (SELECT user_id, ts, value, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR) IS NOT TRUE AS new FROM events),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, k""", "total")(
+    lambda s, d: table(s, d, "events").groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    .select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", "total")
+)
