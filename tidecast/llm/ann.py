@@ -147,7 +147,7 @@ def sample_vectors(vectors: DataFrame, sample_rows: int) -> np.ndarray:
     pick = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30))
     few = vectors.withColumn("pick", pick).where(F.col("pick") <= F.lit(int(min(1.0, 1.5 * sample_rows / max(n, 1)) * (1 << 30))))
     rows = few.orderBy("pick", "vec_id").limit(sample_rows).select("vec").collect()
-    return np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r["vec"] for r in rows], np.float64) if rows else np.zeros((0, 1))
 
 
 def _matrix(blobs: pd.Series) -> np.ndarray:
