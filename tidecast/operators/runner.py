@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import econometrics, select  # noqa: F401  they add models to the registry
 from .kernels import get_model
 
 SCHEMA = (
@@ -150,7 +151,7 @@ def grid(spark, params: Mapping[str, Sequence[float]]) -> DataFrame:
     out = spark.range(1).select()
     for name, values in params.items():
         out = out.crossJoin(spark.createDataFrame([(float(v),) for v in values], f"{name} double"))
-    return out.withColumn("trial", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*params)) - 1)
+    return out.withColumn("trial", F.row_number().over(Window.orderBy(*params)) - 1)
 
 
 def candidates(params: Mapping[str, Sequence], method: str = "grid", n_iter: int = 20, random_state: int = 0) -> list[dict]:
@@ -181,8 +182,6 @@ def select_params(
 
     scored = data.groupBy("trial", "a", "b", "c", "d").applyInPandas(score, "trial int, mse double").groupBy("trial").agg(F.avg("mse").alias("score"))
     named = spark.createDataFrame([(i, {k: str(v) for k, v in p.items()}) for i, p in enumerate(held)], "trial int, params map<string,string>")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.orderBy("score", "trial"))
     return scored.join(named, "trial").withColumn("best", rank == 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import factors, interpret, runner
+from ..operators import econometrics, factors, interpret, runner
 from ..operators.features import lag
 from ..operators.kernels import MODELS
 from .bases import ORDER_LONG_SQL, P, order_long, order_panel, ship_panel, table
@@ -22,11 +22,13 @@ def _long(spark, sf_dir):
 _SUPERVISED = [n for n, m in MODELS.items() if m.kind == "supervised" and m.family not in ("gated", "tree", "spline", "neural")]
 for _n in _SUPERVISED:
     query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
-for _n in [n for n, m in MODELS.items() if m.kind == "target"]:
+for _n in [n for n, m in MODELS.items() if m.kind == "target" and n != "ucsv"]:
     query(f"model_{_n}_path")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (3,), 60, step=6).drop("model"))
 for _n in ("decision_tree", "random_forest", "extra_trees", "gradient_boosting", "quantile_regression_forest", "macro_random_forest", "mars", "nn"):
     query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d).where("target = 'p1'"), [runner.Arm(n, n)], (1,), 72, step=3).drop("model"))
 
+query("model_ucsv_path")(lambda s, d: runner.run_arms(_long(s, d).where("target = 'p1'"), [runner.Arm("ucsv", "ucsv", {"n_draws": 200, "burn": 80})], (3,), 72).drop("model"))
+
 # Closed forms that SQL can check: the runner against window aggregates.
 _PAST = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _RUN = L + f", n AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, lag(value) OVER ({W}) AS x, lag(date) OVER ({W}) AS origin FROM olong), "
@@ -76,6 +78,17 @@ SELECT series, date, CASE WHEN b IS NOT NULL THEN i + k * b END AS trend, CASE W
 )
 query("analysis_stationarity")(lambda s, d: factors.stationarity_tests(order_long(s, d)))
 
+for _n, _k, _c in (
+    ("adf", econometrics.adf, ("statistic", "lags")), ("phillips_perron", econometrics.phillips_perron, ("statistic", "lags")),
+    ("kpss_kernel", econometrics.kpss, ("statistic", "lags")), ("dfgls", econometrics.dfgls, ("statistic", "lags")),
+    ("zivot_andrews", econometrics.zivot_andrews, ("statistic", "break_position")), ("ndiffs", econometrics.ndiffs, ("ndiffs",)),
+    ("nsdiffs", econometrics.nsdiffs, ("nsdiffs",)),
+):
+    query(f"analysis_{_n}")(lambda s, d, k=_k, c=_c: econometrics.per_series(order_long(s, d), k, c))
+query("analysis_pacf", L + f", e AS (SELECT series, date, value - avg(value) OVER (PARTITION BY series) AS e FROM olong WHERE value IS NOT NULL), r AS (SELECT series, sum(e * b) / sum(e * e) AS r1, sum(e * c) / sum(e * e) AS r2, count(*) AS n FROM (SELECT *, lag(e) OVER ({W}) AS b, lag(e, 2) OVER ({W}) AS c FROM e) GROUP BY 1) SELECT series, r1 AS pacf1, (r2 - r1 ^ 2) / (1 - r1 ^ 2) AS pacf2, n FROM r", "pacf1 pacf2")(
+    lambda s, d: econometrics.per_series(order_long(s, d), lambda y: dict(zip(("pacf1", "pacf2"), econometrics.pacf(y, 2)[1:])), ("pacf1", "pacf2"))
+)
+
 # Interpretation.
 _C = {"p2": 0.5, "p3": -0.25, "p4": 0.1}
 query("interpret_linear_shap", L + "SELECT date, series AS feature, CASE series WHEN 'p2' THEN 0.5 WHEN 'p3' THEN -0.25 ELSE 0.1 END * (value - avg(value) OVER (PARTITION BY series)) AS shap FROM olong WHERE series IN ('p2', 'p3', 'p4')", "shap")(

@@ -291,7 +291,7 @@ query("analysis_structural_stability", _AC + f"SELECT series, max(abs(c)) / (sqr
 query("analysis_kpss", _AC + f"SELECT series, sum(c * c) / (count(*) * count(*)) / (sum(e * e) / count(*) + 2 * (1 - 1 / 3) * sum(e * b) / count(*) + 2 * (1 - 2 / 3) * sum(e * d) / count(*)) AS kpss, count(*) AS n FROM (SELECT *, lag(e) OVER ({W}) AS b, lag(e, 2) OVER ({W}) AS d, sum(e) OVER ({W} ROWS UNBOUNDED PRECEDING) AS c FROM e) GROUP BY 1", "kpss")(
     lambda s, d: analysis.kpss_statistic(order_long(s, d), 2)
 )
-query("analysis_variance_ratio", L + f""", d AS (SELECT series, date, value - lag(value) OVER ({W}) AS d FROM olong), e AS (SELECT series, date, d - avg(d) OVER (PARTITION BY series) AS e FROM d WHERE d IS NOT NULL),
+query("analysis_variance_ratio", L + f""", d AS (SELECT series, date, value - lag(value) OVER ({W}) AS d FROM olong WHERE value IS NOT NULL), e AS (SELECT series, date, d - avg(d) OVER (PARTITION BY series) AS e FROM d WHERE d IS NOT NULL),
 s AS (SELECT *, e + lag(e) OVER ({W}) AS s, e * lag(e) OVER ({W}) AS p FROM e), g AS (SELECT series, count(*) AS n, sum(e * e) AS den, sum(s * s) AS ss, sum(p * p) AS pp FROM s GROUP BY 1),
 v AS (SELECT series, n, ss / (2 * (n - 1) * (1 - 2 / n)) / (den / (n - 1)) AS vr, pp / (den * den) AS theta FROM g) SELECT series, n, vr AS variance_ratio, (vr - 1) / sqrt(theta) AS z FROM v""", "variance_ratio z")(
     lambda s, d: analysis.variance_ratio(order_long(s, d), 2)
