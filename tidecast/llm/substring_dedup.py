@@ -6,7 +6,9 @@ equal minimizers at equal places, so the estimate of a window is never below
 its true count, and a run of neighbouring windows costs one count, not many.
 Partition sketches are merged; windows estimated at one occurrence are left.
 Pass two hashes the windows estimated repeated to 128 bits and groups exactly
-those: a window is removed if its words also start earlier, in a document of
+those; documents whose whole text equals that of one with a smaller id are left
+out of it, since all their windows start earlier and are the first nowhere.  A
+window is removed if its words also start earlier, in a document of
 smaller id or further up in the same one.  Words under removed windows go.
 
 Defined results: a null text has no words; a null id comes after all ids; rows
@@ -116,8 +118,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row, start: every window of ``rows`` whose words also start earlier, once per row key."""
+def later_copies(rows: DataFrame) -> DataFrame:
+    """later: row keys of the rows whose whole text also has a smaller id."""
+    told = rows.select("doc", "row", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    groups = told.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return told.join(groups, "digest").where("doc > first").select(F.col("row").alias("later")).distinct()
+
+
+def repeated_windows(rows: DataFrame, marked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row, start: every window of the rows not marked ``later`` whose words also start earlier."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     log_width = log_width_for(chars // 24)
 
@@ -156,9 +165,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                     names=["h1", "h2", "doc", "row", "start", "again"],
                 )
 
-    found = rows.mapInArrow(candidates, "h1 long, h2 long, doc long, row long, start int, again boolean")
-    # One exchange serves both the grouping and the join that marks all but the first.
-    found = found.repartition("h1", "h2")
+    own = marked.where("later IS NULL").select("doc", "row", "text")
+    found = own.mapInArrow(candidates, "h1 long, h2 long, doc long, row long, start int, again boolean")
+    # The least id of each window is taken map-side first, and the join can be split where a window is hot.
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
     both = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
@@ -177,9 +186,12 @@ def covered(n: int, starts: list[int], window: int) -> np.ndarray:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed: one row per row of ``docs``."""
     rows = _rows(docs, id_col, text_col)
-    starts = repeated_windows(rows, window).groupBy("row").agg(F.collect_set("start").alias("starts"))
+    # Texts are dealt out by row once; the second use of ``marked`` reads the same exchange.
+    marked = rows.join(later_copies(rows), F.col("row") == F.col("later"), "left")
+    starts = repeated_windows(rows, marked, window).groupBy("row").agg(F.collect_set("start").alias("starts"))
     starts = starts.select(F.col("row").alias("at_row"), "starts")
-    joined = rows.join(starts, F.col("row") == F.col("at_row"), "left").select("doc", "text", "starts")
+    joined = marked.join(starts, F.col("row") == F.col("at_row"), "left")
+    joined = joined.select("doc", "text", "starts", F.col("later").isNotNull().alias("later"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -187,7 +199,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             for i in range(batch.num_rows):
                 words, at = words_of(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
                 n, kept = len(words), words
-                if at:
+                if batch.column(3)[i].as_py() and n >= window:
+                    kept = []
+                elif at:
                     gone = covered(n, at, window)
                     kept = [words[j] for j in np.flatnonzero(~gone)]
                 for to, x in zip(out, (b" ".join(kept).decode("utf-8", "surrogatepass"), n, n - len(kept))):
