@@ -2,9 +2,9 @@
 
 Edges are first contracted inside each partition by a local union-find, which
 puts out at most one edge per node.  Then large-star and small-star rounds run
-until nothing changes; every round is written to the shared folder, so a lost
-executor costs one round at most and nothing of the graph reaches the driver
-but a row count and a checksum.
+until every component is a star around its smallest node; every round is written
+to the shared folder, so a lost executor costs one round at most, and nothing of
+the graph reaches the driver but one count.
 """
 
 from __future__ import annotations
@@ -59,19 +59,20 @@ def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _not_stars(edges: DataFrame) -> bool:
+    """Whether some node has two roots or is a root and a child."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    seen = ends.groupBy("v").agg(F.sum("child").alias("c"), F.max("root").alias("r"))
+    return seen.agg(F.count_if((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("r") > 0))).alias("n")).first()["n"] > 0
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of the component) for every node that has an edge to another."""
     own = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
     own = own.where(F.col("a") != F.col("b"))
     now = written(own.mapInArrow(_contract, "a long, b long"), "edges")  # a > b
-    before = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if seen["n"] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if (seen["n"], seen["x"]) == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = (seen["n"], seen["x"])
+    while _not_stars(now):
         # Large star: every neighbour above u goes to the smallest around u.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -81,3 +82,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
