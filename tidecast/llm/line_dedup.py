@@ -4,7 +4,7 @@ A line is what stands between line feeds; lines with equal text are one node.
 Signatures are MinHashes over shingles of ``shingle`` characters (a shorter line
 is its own single shingle).  ``bands`` bands of ``rows`` values find candidates:
 lines that agree in a band.  At Jaccard 0.8 the defaults find a pair with
-probability 0.985, at 0.9 with 0.9998.
+probability 0.995, at 0.9 with 0.99998.
 
 Candidates are verified exactly.  First every line of a bucket is compared with
 the bucket's smallest line, which is linear in the bucket; buckets in which that
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import bucket_count, written
 from .components import UnionFind, connected_components
 from .sketch import key_filter, may_hold
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILL = 0x110000  # no character has this number
 _CHUNK_CHARS = 1 << 19
@@ -204,31 +204,51 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     return both.mapInArrow(batches, "a long, b long")
 
 
-def bucket_edges(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = 1024) -> DataFrame:
+def similar_pairs(grams: list[frozenset], similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """All i > j with that Jaccard similarity or more, by counting common shingles of all pairs at once."""
+    number: dict[str, int] = {}
+    at = [[number.setdefault(g, len(number)) for g in s] for s in grams]
+    sizes = np.array([len(x) for x in at], np.int64)
+    row, col = np.repeat(np.arange(len(at)), sizes), np.concatenate([np.array(x, np.int64) for x in at])
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(at), len(at)), np.float32)
+    for a in range(0, len(number), columns):
+        lo, hi = np.searchsorted(col, (a, a + columns))
+        part = np.zeros((len(at), min(columns, len(number) - a)), np.float32)
+        part[row[lo:hi], col[lo:hi] - a] = 1
+        both += part @ part.T
+    either = sizes[:, None] + sizes[None, :] - both
+    return np.nonzero(np.tril(both >= similarity * either - 1e-3, -1))
+
+
+def bucket_edges(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = 512) -> DataFrame:
     """Edges whose components are those of all pairs inside each bucket of ``members`` (bucket, key, root, n)."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(4)), blocks).cast("int")
-    rows = members.select("bucket", "key", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root")
-    rows = rows.join(texts, "key")
+    rows = members.select("bucket", "key", "root", "n", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    few = F.pmod(F.xxhash64("bucket"), F.lit(4 * bucket_count(members.sparkSession)))
+    # Small buckets share a task; a pair of blocks of a large bucket has its own.
+    task = F.when(F.col("n") <= block, few).otherwise(F.xxhash64("bucket", i, j))
+    rows = rows.select("bucket", i.alias("i"), j.alias("j"), "own", "key", "root", task.alias("task")).join(texts, "key")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, made = UnionFind(), []
-        for key, root in zip(pdf["key"], pdf["root"]):
-            sets.union(int(key), int(root))
-        keys, own = [int(x) for x in pdf["key"]], pdf["own"].tolist()
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        grams = [shingles(x, shingle) for x in pdf["said"]]
-        for x in range(len(keys)):
-            for y in range(x):
-                if (one or own[x] != own[y]) and sets.find(keys[x]) != sets.find(keys[y]):
-                    small, large = sorted((len(grams[x]), len(grams[y])))
-                    if small >= similarity * large and jaccard(grams[x], grams[y]) >= similarity:
-                        sets.union(keys[x], keys[y])
-                        made.append((keys[x], keys[y]))
+        made: list[tuple[int, int]] = []
+        for (_, i, j), g in pdf.groupby(["bucket", "i", "j"], sort=False):
+            sets = UnionFind()
+            keys, own = [int(x) for x in g["key"]], g["own"].tolist()
+            for key, root in zip(keys, g["root"]):
+                sets.union(key, int(root))
+            grams = [shingles(x, shingle) for x in g["said"]]
+            for x, y in zip(*similar_pairs(grams, similarity)):
+                new = (i == j or own[x] != own[y]) and sets.find(keys[x]) != sets.find(keys[y])
+                if new and jaccard(grams[x], grams[y]) >= similarity:
+                    sets.union(keys[x], keys[y])
+                    made.append((keys[x], keys[y]))
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(link, "a long, b long")
+    return rows.groupBy("task").applyInPandas(link, "a long, b long")
 
 
 def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -238,21 +258,17 @@ def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, simil
     keys = members.select("key").union(members.select("leader")).distinct()
     texts = written(texts_of(rows, keys), "line-texts")
     roots = connected_components(verified_pairs(pairs, texts, shingle, similarity))
-    # Buckets that still hold different components, each set of members once.
-    r1 = roots.select(F.col("node").alias("key"), F.col("root").alias("key_root"))
-    r2 = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    told = members.join(r1, "key", "left").join(r2, "leader", "left").select(
-        "band", "leader", "key", F.coalesce("key_root", "key").alias("root"),
-        F.coalesce("leader_root", "leader").alias("leader_root"),
-    )
+    # Every line has been held against its bucket's leader.  What is left to compare are
+    # the others of a bucket that lie in different components; each set of them once.
+    known = roots.select(F.col("node").alias("key"), "root")
+    told = members.join(known, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     told = written(told, "line-bucket-roots")
-    mixed = told.groupBy("band", "leader", "leader_root").agg(
-        F.max(F.col("root") != F.col("leader_root")).alias("mixed"), (F.count(F.lit(1)) + 1).alias("n"),
-        F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("s"),
-    ).where("mixed")
-    once = mixed.groupBy("leader", "leader_root", "n", "x", "s").agg(F.min("band").alias("bucket"))
+    mixed = told.groupBy("band").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    ).where("lo < hi")
+    once = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("bucket"))
     rest = told.join(once.select("bucket", "n"), F.col("band") == F.col("bucket")).select("bucket", "key", "root", "n")
-    rest = rest.unionByName(once.select("bucket", F.col("leader").alias("key"), F.col("leader_root").alias("root"), "n"))
     more = bucket_edges(rest, texts, shingle, similarity)
     all_edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return connected_components(all_edges)
