@@ -64,7 +64,7 @@ def context_counts(rows: DataFrame, order: int) -> DataFrame:
             for depth in range(order + 1):
                 if len(data) <= depth:
                     break
-                code = code[1:] * 256 + data[depth:] if depth else data
+                code = code[:-1] * 256 + data[depth:] if depth else data
                 gram, n = np.unique(code, return_counts=True)
                 out["lang"] += [lang] * len(gram)
                 out["depth"] += [depth] * len(gram)
