@@ -332,3 +332,48 @@ def test_pipeline_stages(spark, tmp_path):
     packed = p.packed(spark, mixed, SF)
     assert packed.where("piece = 0").count() == mixed.count()
     assert hashlib.sha256(b"".join(r["ids"] for r in packed.limit(5).collect())).hexdigest()
+
+
+# Near-duplicate stage.
+
+
+def brute_near_groups(rows, words=5, similarity=0.8):
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    uf = UnionFind()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= similarity * (len(a) + len(sets[j]) - both) - 1e-9:
+                uf.union(i, j)
+    groups = defaultdict(set)
+    for i, (d, _) in enumerate(rows):
+        groups[uf.find(i)].add(d)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_near_groups_are_those_of_brute_force_jaccard(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (5, 9, 40, 120, 400):
+        for _ in range(6):
+            base = [f"w{v}" for v in rng.integers(0, 5000, size)]
+            for edits in (0, 0, 1, 1, 2, 3, 5, 8):
+                new = list(base)
+                for at in rng.integers(0, size, edits):
+                    new[at] = f"edit{rng.integers(1 << 30)}"
+                rows.append((len(rows), " ".join(new)))
+    # A passage that most of these have, and texts next to the bound (0.8 exactly, and just under it).
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows += [(len(rows) + i, " ".join(f"own{i}x{j}" for j in range(20)) + " " + passage) for i in range(60)]
+    long = [f"z{i}" for i in range(94)]  # 90 shingles
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:76])), (1002, " ".join(long[:75])), (1003, ""), (1004, " \n")]
+    rows += [(2000 + r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC)
+    want = brute_near_groups(rows)
+    kept = {r["doc_id"] for r in p.one_of_each_group(spark, docs, SF).collect()}
+    assert kept == {min(g) for g in want}

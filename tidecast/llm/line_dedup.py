@@ -23,7 +23,8 @@ as one with probability n * n / 2**65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -185,8 +186,8 @@ def texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("said").alias("said"))
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines have that Jaccard similarity or more."""
+def verified_pairs(pairs: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts have that Jaccard similarity or more of their ``grams``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -194,8 +195,8 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
             for i in range(batch.num_rows):
                 x, y = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 if x != last_text:
-                    last_text, last_set = x, shingles(x, shingle)
-                if jaccard(last_set, shingles(y, shingle)) >= similarity:
+                    last_text, last_set = x, grams(x)
+                if jaccard(last_set, grams(y)) >= similarity:
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
@@ -222,7 +223,7 @@ def similar_pairs(grams: list[frozenset], similarity: float, columns: int = 4096
     return np.nonzero(np.tril(both >= similarity * either - 1e-3, -1))
 
 
-def bucket_edges(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = 512) -> DataFrame:
+def bucket_edges(members: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float, block: int = 512) -> DataFrame:
     """Edges whose components are those of all pairs inside each bucket of ``members`` (bucket, key, root, n)."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(4)), blocks).cast("int")
@@ -240,10 +241,10 @@ def bucket_edges(members: DataFrame, texts: DataFrame, shingle: int, similarity:
             keys, own = [int(x) for x in g["key"]], g["own"].tolist()
             for key, root in zip(keys, g["root"]):
                 sets.union(key, int(root))
-            grams = [shingles(x, shingle) for x in g["said"]]
-            for x, y in zip(*similar_pairs(grams, similarity)):
+            sides = [grams(x) for x in g["said"]]
+            for x, y in zip(*similar_pairs(sides, similarity)):
                 new = (i == j or own[x] != own[y]) and sets.find(keys[x]) != sets.find(keys[y])
-                if new and jaccard(grams[x], grams[y]) >= similarity:
+                if new and jaccard(sides[x], sides[y]) >= similarity:
                     sets.union(keys[x], keys[y])
                     made.append((keys[x], keys[y]))
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
@@ -254,10 +255,17 @@ def bucket_edges(members: DataFrame, texts: DataFrame, shingle: int, similarity:
 def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, root for every line that is linked to a different one."""
     members = written(bucket_members(occurrences), "line-buckets")
-    pairs = members.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     keys = members.select("key").union(members.select("leader")).distinct()
     texts = written(texts_of(rows, keys), "line-texts")
-    roots = connected_components(verified_pairs(pairs, texts, shingle, similarity))
+    return bucket_components(members, texts, partial(shingles, shingle=shingle), similarity)
+
+
+def bucket_components(
+    members: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float, block: int = 512
+) -> DataFrame:
+    """node, root of the similar pairs of every bucket of ``members`` (band, leader, key); ``texts`` is key, said."""
+    pairs = members.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    roots = connected_components(verified_pairs(pairs, texts, grams, similarity))
     # Every line has been held against its bucket's leader.  What is left to compare are
     # the others of a bucket that lie in different components; each set of them once.
     known = roots.select(F.col("node").alias("key"), "root")
@@ -269,7 +277,7 @@ def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, simil
     ).where("lo < hi")
     once = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("bucket"))
     rest = told.join(once.select("bucket", "n"), F.col("band") == F.col("bucket")).select("bucket", "key", "root", "n")
-    more = bucket_edges(rest, texts, shingle, similarity)
+    more = bucket_edges(rest, texts, grams, similarity, block)
     all_edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return connected_components(all_edges)
 
