@@ -185,6 +185,20 @@ def test_ids_equal_the_tokenizers_library(spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == e.ids
 
 
+def test_pieces_hold_the_ids_of_the_default_call(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOK)
+    texts = [x or "" for x in ODD] + ["a <|endoftext|><|endoftext|> b", "<|endoftext", "x" + " " * 1_200_000 + "y", "\n" * 150_000, " " * 99_999 + "z" * 10]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in packing.tokenize_pieces(docs, TOK).collect():
+        got[r["doc_id"]][r["piece"]] = r["ids"]
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(got[i][k] for k in sorted(got[i])), "<u4").tolist()
+        assert ids == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def check_packed(rows, capacity):
     bins = defaultdict(list)
     for r in rows:

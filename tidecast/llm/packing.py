@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -35,6 +36,8 @@ CAPACITY = 2048
 #: Fixed value: the published pattern that byte-level BPE files with ``use_regex`` stand for.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK_CHARS = 1 << 22
+#: Longer runs of white space are left to ``tokenizers``; ``tiktoken`` overflows its stack at about a million.
+_LONG_SPACE = 100_000
 
 
 def byte_level_ranks(path: str) -> dict[bytes, int] | None:
@@ -76,6 +79,32 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     return lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+@cache
+def _default_encoder(path: str) -> Callable[[str], bytes]:
+    """One text to the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    Texts that hold an added token (which becomes that token's id) or a very long run
+    of white space go to ``tokenizers``, loaded when the first one comes; all others to ``_encoder``.
+    """
+    fast = _encoder(path)
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cache
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def ids_of(text: str) -> bytes:
+        long_space = len(text) > _LONG_SPACE and any(m.end() - m.start() > _LONG_SPACE for m in re.finditer(r"\s+", text))
+        if long_space or any(x in text for x in added):
+            return array("I", library().encode(text, add_special_tokens=False).ids).tobytes()
+        return fast(text)
+
+    return ids_of
+
+
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -83,7 +112,7 @@ def tokenize_pieces(
     end = end_id.to_bytes(4, "little")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(tokenizer_path)
+        ids_of = _default_encoder(tokenizer_path)
         for batch in it:
             at = 0
             texts = batch.column(1)
