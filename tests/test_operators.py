@@ -253,3 +253,27 @@ def test_streamed_panel_equals_batch(spark, tmp_path):
     want = online.tumbling_panel(events)
     key = lambda d: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 6)) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_every_supplier_is_imputed(spark, tmp_path):
+    import pandas as pd
+
+    from tidecast.operators.factors import em_impute
+    from tidecast.plans.bases import ship_panel
+    from tidecast.plans.registry import QUERIES
+
+    rng = np.random.default_rng(5)
+    rows = [(k, f"2000-{m:02d}-15", float(rng.uniform(1e6, 2e6)), 0.1) for k in range(1, 15) for m in range(1, 13) if (k + m) % 9]
+    made = spark.createDataFrame(rows, "l_suppkey long, day string, l_extendedprice double, l_discount double")
+    made.selectExpr("l_suppkey", "CAST(day AS TIMESTAMP_NTZ) AS l_shipdate", "l_extendedprice", "l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    wide = ship_panel(spark, str(tmp_path)).toPandas().pivot(index="date", columns="series", values="value").sort_index()
+    want = {}
+    for first in (1, 7, 13):
+        names = [f"s{k}" for k in range(first, min(first + 6, 15))]
+        part = wide[names]
+        full = em_impute(part.to_numpy(float), 2)
+        want |= {(n, d): full[i, j] for i, d in enumerate(part.index) for j, n in enumerate(names)}
+    got = {(r["series"], r["date"]): r["value"] for r in QUERIES["impute_em_factor"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len({n for n, _ in got}) == 14
+    for at, value in want.items():
+        assert (got[at] is None) == bool(pd.isna(value)) and (got[at] is None or abs(got[at] - value) < 1e-5)  # results are rounded

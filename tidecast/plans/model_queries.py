@@ -62,9 +62,19 @@ for _k in ("bagging", "subagging", "random_subspace"):
     query(f"ensemble_{_k}")(lambda s, d, k=_k: runner.ensemble(_features(s, d), "ridge", _X, "p1", 60, k))
 
 # Factors and filters.
-query("impute_em_factor")(
-    lambda s, d: factors.em_factor_impute(ship_panel(s, d).where("series IN ('s1', 's2', 's3', 's4', 's5', 's6')").groupBy("date").pivot("series", ["s1", "s2", "s3", "s4", "s5", "s6"]).agg(F.first("value")), n_factors=2)
-)
+def _imputed_shipments(s, d, size=6):
+    """series, date, value of every supplier: a factor model for each group of ``size`` consecutive suppliers."""
+    panel = ship_panel(s, d)
+    slots = [f"m{i}" for i in range(1, size + 1)]
+    number = F.expr("CAST(substring(series, 2) AS BIGINT) - 1")
+    rows = panel.withColumn("n", number).select(F.floor(F.col("n") / size).alias("block"), F.concat(F.lit("m"), F.col("n") % size + 1).alias("slot"), "date", "value")
+    wide = rows.groupBy("block", "date").pivot("slot", slots).agg(F.first("value"))
+    filled = factors.em_factor_impute(wide, slots, n_factors=2, by=("block",)).unpivot(["block", "date"], slots, "slot", "value")
+    filled = filled.select(F.concat(F.lit("s"), F.col("block") * size + F.substring("slot", 2, 20).cast("bigint")).alias("series"), "date", "value")
+    return filled.join(panel.select("series").distinct(), "series", "left_semi")  # a last group may have fewer
+
+
+query("impute_em_factor")(_imputed_shipments)
 query("features_pca_expanding")(lambda s, d: factors.pca_features(order_panel(s, d), P, 2))
 query("features_dfm")(lambda s, d: factors.dfm_features(order_panel(s, d), 2, columns=P))
 query("features_maf")(lambda s, d: factors.maf_features(order_panel(s, d), "p1", 6, 2))
