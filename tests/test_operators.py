@@ -277,3 +277,33 @@ def test_every_supplier_is_imputed(spark, tmp_path):
     assert got.keys() == want.keys() and len({n for n, _ in got}) == 14
     for at, value in want.items():
         assert (got[at] is None) == bool(pd.isna(value)) and (got[at] is None or abs(got[at] - value) < 1e-5)  # results are rounded
+
+
+WHOLE_PANEL = ["decision_tree", "random_forest", "extra_trees", "gradient_boosting", "quantile_regression_forest", "macro_random_forest", "mars", "nn"]
+
+
+@pytest.fixture(scope="module")
+def short_orders(spark, tmp_path_factory):
+    """65 months of orders, one order of each priority a month."""
+    to, rng = str(tmp_path_factory.mktemp("orders")), np.random.default_rng(8)
+    rows = [(f"{1996 + m // 12}-{m % 12 + 1:02d}-10", f"{p}-X", float(rng.uniform(1e6, 3e6))) for m in range(65) for p in range(1, 6)]
+    made = spark.createDataFrame(rows, "day string, o_orderpriority string, o_totalprice double")
+    made.selectExpr("CAST(day AS TIMESTAMP_NTZ) AS o_orderdate", "o_orderpriority", "o_totalprice").write.parquet(f"{to}/orders.parquet")
+    return to
+
+
+@pytest.mark.parametrize("name", [f"model_{n}" for n in WHOLE_PANEL] + ["model_ucsv_path", "model_theta_method_path"])
+def test_models_cover_every_series_and_origin(spark, short_orders, name):
+    from tidecast.plans.registry import QUERIES
+
+    ends = 65 - (3 if name.endswith("_path") else 1)
+    rows = QUERIES[name](spark, short_orders).collect()
+    assert sorted((r["target"], r["origin_pos"]) for r in rows) == [(f"p{i}", o) for i in range(1, 6) for o in range(60, ends)]
+    assert all(r["error"] is None for r in rows)
+
+
+def test_albama_covers_every_series(spark, short_orders):
+    from tidecast.plans.registry import QUERIES
+
+    rows = QUERIES["filter_albama"](spark, short_orders).collect()
+    assert {r["series"] for r in rows} == {f"p{i}" for i in range(1, 6)} and len(rows) == 325

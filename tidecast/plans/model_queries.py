@@ -23,11 +23,11 @@ _SUPERVISED = [n for n, m in MODELS.items() if m.kind == "supervised" and m.fami
 for _n in _SUPERVISED:
     query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
 for _n in [n for n, m in MODELS.items() if m.kind == "target" and n != "ucsv"]:
-    query(f"model_{_n}_path")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (3,), 60, step=6).drop("model"))
+    query(f"model_{_n}_path")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (3,), 60).drop("model"))
 for _n in ("decision_tree", "random_forest", "extra_trees", "gradient_boosting", "quantile_regression_forest", "macro_random_forest", "mars", "nn"):
-    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d).where("target = 'p1'"), [runner.Arm(n, n)], (1,), 72, step=3).drop("model"))
+    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
 
-query("model_ucsv_path")(lambda s, d: runner.run_arms(_long(s, d).where("target = 'p1'"), [runner.Arm("ucsv", "ucsv", {"n_draws": 200, "burn": 80})], (3,), 72).drop("model"))
+query("model_ucsv_path")(lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ucsv", "ucsv", {"n_draws": 200, "burn": 80})], (3,), 60).drop("model"))
 
 # Closed forms that SQL can check: the runner against window aggregates.
 _PAST = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -81,7 +81,7 @@ query("features_maf")(lambda s, d: factors.maf_features(order_panel(s, d), "p1",
 query("filter_hp")(lambda s, d: factors.hp_filter(order_long(s, d), "value", by=("series",)))
 query("filter_hamilton")(lambda s, d: factors.hamilton_filter(order_long(s, d), "value", by=("series",)))
 query("filter_stl")(lambda s, d: factors.stl_decompose(order_long(s, d), "value", by=("series",)))
-query("filter_albama")(lambda s, d: factors.albama(order_long(s, d).where("series = 'p1'"), "value", 30))
+query("filter_albama")(lambda s, d: factors.albama(order_long(s, d), "value", 30, by=("series",)))
 query("filter_hamilton_one_lag", L + f""", x AS (SELECT series, date, value, lag(value, 8) OVER ({W}) AS b FROM olong)
 SELECT series, date, CASE WHEN b IS NOT NULL THEN i + k * b END AS trend, CASE WHEN b IS NOT NULL THEN value - i - k * b END AS cycle FROM x JOIN (SELECT series, regr_intercept(value, b) AS i, regr_slope(value, b) AS k FROM x GROUP BY 1) USING (series)""", "trend cycle")(
     lambda s, d: factors.hamilton_filter(order_long(s, d), "value", 8, 1, by=("series",))
