@@ -83,10 +83,18 @@ def test_volatility():
     assert len(roll) == 100 and roll["hit"].mean() < 0.2
 
 
-def test_trend_draws_follow_the_series():
-    y = np.cumsum(0.3 * RNG.normal(size=80)) + 0.5 * RNG.normal(size=80)
+def smoothed_walk(y, noise, step):
+    """Smoothed mean of a random walk seen with noise, by its normal equations."""
+    d = np.diff(np.eye(len(y)), axis=0)
+    return np.linalg.solve(np.eye(len(y)) / noise + d.T @ d / step, y / noise)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trend_draws_follow_the_series(seed):
+    rng = np.random.default_rng(seed)
+    y = np.cumsum(0.3 * rng.normal(size=80)) + 0.5 * rng.normal(size=80)
     x = E.ucsv(y, 150, 50)
-    assert np.isfinite(x).all() and np.corrcoef(x, y)[0, 1] > 0.8
+    assert np.isfinite(x).all() and np.corrcoef(x, smoothed_walk(y, 0.25, 0.09))[0, 1] > 0.95
 
 
 @pytest.mark.parametrize("f", [E.star_forecast, E.auto_arima, E.stlf])
@@ -109,14 +117,6 @@ def test_selections_find_the_predictors():
     assert (select.sparse_components(x, 2, 3) != 0).sum(0).max() <= 3
 
 
-def test_aggregation_weights():
-    x = RNG.normal(size=(200, 3))
-    w = select.supervised_aggregation(x, x @ np.array([0.7, 0.3, 0.0]), alpha=1e-3).weights
-    assert w == pytest.approx([0.7, 0.3, 0.0], abs=0.02)
-    r = select.supervised_aggregation(x, np.sort(x, 1)[:, 1], "rank", alpha=1e-3, simplex=False).weights
-    assert r == pytest.approx([0, 1, 0], abs=0.05)
-
-
 def test_searches_reach_the_minimum():
     space = {"a": select.uniform(-1, 1), "b": select.log_uniform(1e-3, 1.0), "c": select.choice(("x", "y")), "d": select.randint(0, 4)}
     loss = lambda p: (p["a"] - 0.5) ** 2 + (np.log10(p["b"]) + 1) ** 2 + (p["c"] == "y") + abs(p["d"] - 2)

@@ -104,19 +104,31 @@ def test_the_future_does_not_leak(spark):
 
 
 def test_chunks_do_not_matter_and_failures_stay_in_rows(spark):
-    arms = [runner.Arm("ols", "ols"), runner.Arm("gone", "xgboost")]
+    arms = [runner.Arm("ols", "ols"), runner.Arm("gone", "no_such_model")]
     a, b = (runner.run_arms(long_series(spark), arms, (1,), 40, chunk=c) for c in (4, 64))
     key = lambda d: sorted((r["arm"], r["origin_pos"], r["prediction"] or 0.0) for r in d.collect())
     assert key(a) == key(b)
-    assert "MissingDependency" in runner.failed_cells(a).first()["error"]
+    assert "no_such_model" in runner.failed_cells(a).first()["error"]
 
 
-@pytest.mark.parametrize("name", [n for n, m in kernels.MODELS.items() if m.kind == "supervised" and m.family != "gated"])
+SMALL = {
+    "lstm": {"learning_rate": 0.02, "hidden_size": 8}, "gru": {"learning_rate": 0.02, "hidden_size": 8}, "transformer": {"learning_rate": 0.02, "hidden_size": 8},
+    "hemisphere_nn": {"n_estimators": 4, "neurons": 16, "learning_rate": 0.01, "max_epochs": 80, "patience": 40},
+    "density_hnn": {"n_estimators": 4, "prior_estimators": 2, "neurons": 16, "learning_rate": 0.01, "max_epochs": 80, "patience": 40},
+    "booging": {"B": 5, "inner_n_estimators": 60}, "xgboost": {"n_estimators": 60}, "lightgbm": {"n_estimators": 60, "min_child_samples": 5}, "catboost": {"n_estimators": 100},
+    "lgb_plus": {"n_steps": 80, "learning_rate": 0.1}, "lgba_plus": {"n_cycles": 10}, "svr": {"epsilon": 0.01}, "nu_svr": {"C": 5.0}, "linear_svr": {"C": 10.0},
+    "stacking": {"models": ("ridge", "pcr")},
+}
+
+
+@pytest.mark.parametrize("name", [n for n, m in kernels.MODELS.items() if m.kind == "supervised"])
 def test_supervised_kernels_learn(name):
     rng = np.random.default_rng(1)
     x = rng.uniform(0, 1, (80, 4))
     y = 1 + x @ np.array([2.0, 1.0, 0.5, 0.25]) + 0.01 * rng.normal(size=80)
-    small = {"alpha": 1e-3} if "alpha" in kernels.get_model(name).search else {}
+    if kernels.get_model(name).family == "aggregation":  # weights without an intercept, on the simplex by default
+        y = x @ np.array([0.55, 0.25, 0.15, 0.05]) + 0.01 * rng.normal(size=80)
+    small = SMALL.get(name, {"alpha": 1e-3} if "alpha" in kernels.get_model(name).search else {})
     p = kernels.get_model(name).fit(x[:60], y[:60], **small)(x[60:])
     assert p.shape == (20,) and np.isfinite(p).all()
     assert ((p - y[60:]) ** 2).mean() < (1.3 if name in ("shrink_to_target_ridge", "midas_beta", "restricted_midas", "midas_almon", "midas_step", "random_walk_ridge") else 0.6) * y[60:].var() + 0.2

@@ -15,19 +15,6 @@ import numpy as np
 Predictor = Callable[[np.ndarray], np.ndarray]
 
 
-class MissingDependency(ImportError):
-    """The model needs a library that is not installed."""
-
-
-def optional_import(module: str, model: str):
-    import importlib
-
-    try:
-        return importlib.import_module(module)
-    except ImportError as e:
-        raise MissingDependency(f"{model} needs the optional library {module}") from e
-
-
 def _linear(coef: np.ndarray, intercept: float = 0.0) -> Predictor:
     def predict(x: np.ndarray) -> np.ndarray:
         return x @ coef + intercept
@@ -838,14 +825,6 @@ def fevd(z, n_lag=1, periods=10):
     return r / r.sum(2, keepdims=True)
 
 
-def gated(library: str, name: str):
-    def fit(*_, **__):
-        optional_import(library, name)
-        raise MissingDependency(f"{name} is not wired to {library} here")
-
-    return fit
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     name: str
@@ -883,10 +862,6 @@ MODELS: dict[str, ModelSpec] = {
         ModelSpec("theta_method", s_theta, "target", "series"), ModelSpec("arima", s_arima, "target", "series"),
         ModelSpec("garch11", garch_variance, "volatility", "volatility"), ModelSpec("gjr_garch", lambda y, h: garch_variance(y, h, "gjr"), "volatility", "volatility"),
         ModelSpec("var", var_forecast, "panel", "vector"), ModelSpec("bvar_minnesota", lambda z, h, n_lag=1: var_forecast(z, h, n_lag, 0.2), "panel", "vector"),
-        *[ModelSpec(n, gated(lib, n), "supervised", "gated") for n, lib in (
-            ("xgboost", "xgboost"), ("lightgbm", "lightgbm"), ("catboost", "catboost"), ("svr", "sklearn"), ("linear_svr", "sklearn"), ("nu_svr", "sklearn"),
-            ("lstm", "torch"), ("gru", "torch"), ("transformer", "torch"), ("hemisphere_nn", "torch"), ("density_hnn", "torch"),
-        )],
     ]
 }
 

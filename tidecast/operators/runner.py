@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import econometrics, select  # noqa: F401  they add models to the registry
+from . import econometrics, learners, networks, select, structural  # noqa: F401  they add models to the registry
 from .kernels import get_model
 
 SCHEMA = (

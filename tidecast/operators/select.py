@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .combine import _simplex
-from .kernels import _coordinate_descent, _projected, _scaled, custom_model, ols, random_forest, ridge
+from . import structural
+from .kernels import _coordinate_descent, _scaled, ols, random_forest, ridge
 
 
 def _how_many(n_features: float, p: int) -> int:
@@ -125,24 +125,7 @@ def sparse_components(x, n_components=2, keep=0.5, sweeps=50) -> np.ndarray:
     return np.array(out).T
 
 
-def supervised_aggregation(x, y, space="component", alpha=1.0, reference=None, simplex=True, steps=2000) -> Callable[[np.ndarray], np.ndarray]:
-    """Ridge toward reference weights, on the simplex or non-negative; ``rank`` space sorts each row first."""
-    put = (lambda v: np.sort(v, axis=1)) if space == "rank" else (lambda v: v)
-    z, p = put(x), x.shape[1]
-    if space == "rank":
-        d = np.diff(np.eye(p), axis=0)
-        g, c = z.T @ z + alpha * d.T @ d, z.T @ y
-    else:
-        ref = np.full(p, 1 / p) if reference is None else np.asarray(reference, float)
-        g, c = z.T @ z + alpha * np.eye(p), z.T @ y + alpha * ref
-    w = _projected(g, c, _simplex if simplex else lambda v: np.maximum(v, 0), steps)
-    predict = lambda new: put(new) @ w
-    predict.weights = w
-    return predict
-
-
-albacore_components = lambda x, y, **o: supervised_aggregation(x, y, "component", **o)
-albacore_ranks = lambda x, y, **o: supervised_aggregation(x, y, "rank", simplex=False, **o)
+albacore_components, albacore_ranks = structural.component_aggregation, structural.rank_aggregation
 
 
 # Search strategies.
@@ -238,7 +221,3 @@ def information_criterion(x, y, fits: Mapping[str, np.ndarray], criterion: str =
         return n * np.log(max(e @ e / n, 1e-300)) + pen
 
     return min(fits, key=lambda c: score(fits[c]))
-
-
-for _name, _fit in (("component_aggregation", albacore_components), ("rank_aggregation", albacore_ranks)):
-    custom_model(_name, _fit)
