@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import lean, written
 
 
 class UnionFind:
@@ -46,6 +46,7 @@ class UnionFind:
         return True
 
 
+@lean
 def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = UnionFind()
     for batch in it:

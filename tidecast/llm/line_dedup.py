@@ -32,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_count, written
+from ._common import bucket_count, lean, written
 from .components import UnionFind, connected_components
 from .sketch import key_filter, may_hold
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILL = 0x110000  # no character has this number
-_CHUNK_CHARS = 1 << 19
+_CHUNK_CHARS = 1 << 17  # what is made of a chunk stays in a core's cache
 _LAST = (1 << 63) - 1
+Sets = Callable[[list], list[np.ndarray]]  # texts to sorted sets of shingle hashes
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all lines, and the bounds of each line's own in (start, end) pairs."""
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x) for x in lines], np.int64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     padded = np.maximum(sizes, shingle)
     ends = np.cumsum(padded)
     starts = ends - padded
@@ -60,10 +61,17 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
         full = np.full(int(ends[-1]), _FILL, np.uint64)
         full[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(chars))] = chars
         chars = full
-    h = np.zeros(max(len(chars) - shingle + 1, 0), np.uint64)
-    for i in range(shingle):
-        h = h * _BASE + chars[i : i + len(h)]
-    return _mix(h), np.stack([starts, ends - shingle + 1], 1)
+    # Horner's rule for all shingles at once, by doubling the block.
+    n, done, size, out, block = max(len(chars) - shingle + 1, 0), 0, 1, None, chars
+    while done < shingle and n:
+        if shingle & size:
+            part = block[done : done + n]
+            out = part if out is None else out * np.uint64(pow(int(_BASE), size, 1 << 64)) + part
+            done += size
+        if done < shingle:
+            block = block[:-size] * np.uint64(pow(int(_BASE), size, 1 << 64)) + block[size:]
+            size *= 2
+    return _mix(out) if out is not None else np.zeros(0, np.uint64), np.stack([starts, ends - shingle + 1], 1)
 
 
 def minhash_bands(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -71,24 +79,44 @@ def minhash_bands(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS,
     h, bounds = shingle_hashes(lines, shingle)
     cuts = bounds.reshape(-1)
     cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
-    rng = np.random.default_rng(9)
-    odd = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(lines), bands), np.uint64)
+    # An odd multiplier permutes the 32-bit numbers; their products need no wider type.
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    odd = np.random.default_rng(9).integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    out, v = np.zeros((len(lines), bands), np.uint64), np.empty_like(short)
     for i, a in enumerate(odd):
-        v = ((h * a) >> np.uint64(32)).astype(np.uint32)
-        low = np.minimum.reduceat(v, cuts)[::2].astype(np.uint64)
+        low = np.minimum.reduceat(np.multiply(short, a, out=v), cuts)[::2].astype(np.uint64)
         b = i // rows
         out[:, b] = _mix(out[:, b] * _BASE + low + np.uint64(b + 1))
     return out
 
 
-def shingles(line: str, shingle: int = SHINGLE) -> frozenset[str]:
-    return frozenset(line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1)))
+def shingle_sets(lines: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Per line the sorted hashes of its different shingles."""
+    sets: list[np.ndarray] = []
+    at = 0
+    while at < len(lines):
+        first, size = at, 0
+        while at < len(lines) and size < _CHUNK_CHARS:
+            size += len(lines[at])
+            at += 1
+        h, bounds = shingle_hashes(lines[first:at], shingle)
+        sets += [sorted_set(h[a:b]) for a, b in bounds.tolist()]
+    return sets
+
 
+def sorted_set(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
-def jaccard(a: frozenset, b: frozenset) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of hashes."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / max(len(both) - common, 1)
 
 
 def _keys(lines: list[str]) -> list[int]:
@@ -115,6 +143,7 @@ def _text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 def line_occurrences(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
     """key, doc, row, line; and, where a key is first met in a chunk, its bands."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for first, texts in _text_chunks(batch.column(2)):
@@ -142,6 +171,7 @@ def line_occurrences(rows: DataFrame, shingle: int, bands: int, per_band: int) -
 def bucket_members(occurrences: DataFrame) -> DataFrame:
     """band, leader (smallest key), key: all members of the buckets of two or more different lines."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by band, then key.  Only the open bucket's leader is carried over.
         band = leader = last = None
@@ -173,6 +203,7 @@ def texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     bits, width = key_filter(keys, "key")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for _, texts in _text_chunks(batch.column(0)):
@@ -186,44 +217,46 @@ def texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("said").alias("said"))
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts have that Jaccard similarity or more of their ``grams``."""
+def verified_pairs(pairs: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts have that Jaccard similarity or more."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            last_text, last_set, good = None, frozenset(), []
-            for i in range(batch.num_rows):
-                x, y = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if x != last_text:
-                    last_text, last_set = x, grams(x)
-                if jaccard(last_set, grams(y)) >= similarity:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
+        for whole in it:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                # Rows come sorted by ``a``: the sets of a text met again in the batch are made once.
+                said = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+                number = {x: i for i, x in enumerate(dict.fromkeys([*said[0], *said[1]]))}
+                sets = sets_of(list(number))
+                good = [i for i, (x, y) in enumerate(zip(*said)) if jaccard(sets[number[x]], sets[number[y]]) >= similarity]
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     side = lambda c: texts.select(F.col("key").alias(c), F.col("said").alias(f"{c}_said"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_said", "b_said")
     return both.mapInArrow(batches, "a long, b long")
 
 
-def similar_pairs(grams: list[frozenset], similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """All i > j with that Jaccard similarity or more, by counting common shingles of all pairs at once."""
-    number: dict[str, int] = {}
-    at = [[number.setdefault(g, len(number)) for g in s] for s in grams]
-    sizes = np.array([len(x) for x in at], np.int64)
-    row, col = np.repeat(np.arange(len(at)), sizes), np.concatenate([np.array(x, np.int64) for x in at])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle that one set has is in no pair's intersection.
+    shared = times > 1
+    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    both = np.zeros((len(at), len(at)), np.float32)
-    for a in range(0, len(number), columns):
+    both, width = np.zeros((len(sets), len(sets)), np.float32), int(shared.sum())
+    for a in range(0, width, columns):
         lo, hi = np.searchsorted(col, (a, a + columns))
-        part = np.zeros((len(at), min(columns, len(number) - a)), np.float32)
+        part = np.zeros((len(sets), min(columns, width - a)), np.float32)
         part[row[lo:hi], col[lo:hi] - a] = 1
         both += part @ part.T
     either = sizes[:, None] + sizes[None, :] - both
-    return np.nonzero(np.tril(both >= similarity * either - 1e-3, -1))
+    return np.nonzero(np.tril(both / np.maximum(either, 1).astype(np.float64) >= similarity, -1))
 
 
-def bucket_edges(members: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float, block: int = 512) -> DataFrame:
+def bucket_edges(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512) -> DataFrame:
     """Edges whose components are those of all pairs inside each bucket of ``members`` (bucket, key, root, n)."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(4)), blocks).cast("int")
@@ -237,15 +270,12 @@ def bucket_edges(members: DataFrame, texts: DataFrame, grams: Callable[..., froz
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[tuple[int, int]] = []
         for (_, i, j), g in pdf.groupby(["bucket", "i", "j"], sort=False):
-            sets = UnionFind()
+            united = UnionFind()
             keys, own = [int(x) for x in g["key"]], g["own"].tolist()
             for key, root in zip(keys, g["root"]):
-                sets.union(key, int(root))
-            sides = [grams(x) for x in g["said"]]
-            for x, y in zip(*similar_pairs(sides, similarity)):
-                new = (i == j or own[x] != own[y]) and sets.find(keys[x]) != sets.find(keys[y])
-                if new and jaccard(sides[x], sides[y]) >= similarity:
-                    sets.union(keys[x], keys[y])
+                united.union(key, int(root))
+            for x, y in zip(*(v.tolist() for v in similar_pairs(sets_of(g["said"].tolist()), similarity))):
+                if (i == j or own[x] != own[y]) and united.union(keys[x], keys[y]):
                     made.append((keys[x], keys[y]))
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
@@ -257,15 +287,13 @@ def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, simil
     members = written(bucket_members(occurrences), "line-buckets")
     keys = members.select("key").union(members.select("leader")).distinct()
     texts = written(texts_of(rows, keys), "line-texts")
-    return bucket_components(members, texts, partial(shingles, shingle=shingle), similarity)
+    return bucket_components(members, texts, partial(shingle_sets, shingle=shingle), similarity)
 
 
-def bucket_components(
-    members: DataFrame, texts: DataFrame, grams: Callable[..., frozenset], similarity: float, block: int = 512
-) -> DataFrame:
+def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512) -> DataFrame:
     """node, root of the similar pairs of every bucket of ``members`` (band, leader, key); ``texts`` is key, said."""
     pairs = members.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    roots = connected_components(verified_pairs(pairs, texts, grams, similarity))
+    roots = connected_components(verified_pairs(pairs, texts, sets_of, similarity))
     # Every line has been held against its bucket's leader.  What is left to compare are
     # the others of a bucket that lie in different components; each set of them once.
     known = roots.select(F.col("node").alias("key"), "root")
@@ -277,7 +305,7 @@ def bucket_components(
     ).where("lo < hi")
     once = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("bucket"))
     rest = told.join(once.select("bucket", "n"), F.col("band") == F.col("bucket")).select("bucket", "key", "root", "n")
-    more = bucket_edges(rest, texts, grams, similarity, block)
+    more = bucket_edges(rest, texts, sets_of, similarity, block)
     all_edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return connected_components(all_edges)
 
