@@ -254,3 +254,109 @@ def reprocess(panel: DataFrame, codes: Mapping[str, int], by: Sequence[str] = ()
 
 def custom_preprocess(panel: DataFrame, func: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return panel.transform(func)
+
+
+def box_cox_lambda(y, method: str = "loglik", period: int = 12, bounds: tuple[float, float] = (-1.0, 2.0)) -> float:
+    """The parameter of greatest profile likelihood, or of least variation of spread over level across periods (``guerrero``)."""
+    import numpy as np
+
+    v = np.asarray(y, float)
+    v = v[np.isfinite(v)]
+    if (v <= 0).any() or len(v) < 3:
+        raise ValueError("three positive values or more are needed")
+    logs = np.log(v)
+
+    def cost(k: float) -> float:
+        if method == "guerrero":
+            blocks = v[len(v) % period :].reshape(-1, period)
+            ratio = blocks.std(1, ddof=1) / blocks.mean(1) ** (1 - k)
+            return float(ratio.std(ddof=1) / ratio.mean())
+        z = logs if abs(k) < 1e-10 else np.expm1(k * logs) / k
+        return float(len(v) / 2 * np.log(max(z.var(), 1e-300)) - (k - 1) * logs.sum())
+
+    if method not in ("loglik", "guerrero") or (method == "guerrero" and len(v) < 2 * period):
+        raise ValueError("method is loglik, or guerrero with two periods or more")
+    grid = np.linspace(*bounds, 61)
+    k = int(np.argmin([cost(g) for g in grid]))
+    a, b, gold = grid[max(k - 1, 0)], grid[min(k + 1, 60)], (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        c, d = b - gold * (b - a), a + gold * (b - a)
+        a, b = (a, d) if cost(c) < cost(d) else (c, b)
+    return float((a + b) / 2)
+
+
+def fred_sd_transform_codes(columns: Sequence[str], national: Mapping[str, int], analog: Mapping[str, str], own: Mapping[str, int] | None = None) -> dict[str, int]:
+    """A code for every ``<variable>_<state>`` column: its own, that of its variable, or that of the variable's national series."""
+    named, out = dict(own or {}), {}
+    for c in columns:
+        variable = c.rsplit("_", 1)[0]
+        code = named.get(c, named.get(variable, national.get(analog.get(variable, variable))))
+        if code is not None:
+            out[c] = int(code)
+    return out
+
+
+class UndigestiblePreprocessorSpec(TypeError):
+    """A recipe holds what cannot be told apart by its text, such as a function."""
+
+
+@dataclass(frozen=True)
+class PreprocessedData:
+    panel: DataFrame
+    spec: PreprocessSpec
+    state: DataFrame | None = None
+
+    def report(self) -> DataFrame:
+        return report(self.panel)
+
+
+def plan(spec: PreprocessSpec) -> list[tuple[str, str]]:
+    """What a recipe will do, step by step, without doing it."""
+    steps = [("transform", f"{len(spec.codes)} columns"), ("lag rows", "drop"), ("outliers", f"{spec.outliers}, {spec.outlier_action}"), ("impute", spec.impute)]
+    return [*steps, *([("standardize", spec.standardize)] if spec.standardize else []), ("edges", spec.edges)]
+
+
+def report(panel: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """series, n, n_missing, mean, sd, first, last of a processed panel."""
+    cols = value_columns(panel, columns)
+    long = panel.unpivot([DATE], cols, "series", "value")
+    seen = F.when(F.col("value").isNotNull(), F.col(DATE))
+    return long.groupBy("series").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min(seen).alias("first"), F.max(seen).alias("last")
+    )
+
+
+class PreprocessorStore:
+    """Scaling states of fitted recipes as Parquet, under a digest of recipe and data."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def key(spec: PreprocessSpec, data_identity: str) -> str:
+        import hashlib
+        import json
+        from dataclasses import asdict
+
+        try:
+            said = json.dumps({"spec": asdict(spec), "data": data_identity}, sort_keys=True)
+        except TypeError as e:
+            raise UndigestiblePreprocessorSpec(str(e)) from e
+        return hashlib.sha256(said.encode()).hexdigest()
+
+    def put(self, fitted: FittedPreprocessor, data_identity: str) -> str:
+        k = self.key(fitted.spec, data_identity)
+        if fitted.state is not None:
+            fitted.state.write.mode("overwrite").parquet(f"{self.path}/{k}")
+        return k
+
+    def get(self, spec: PreprocessSpec, data_identity: str) -> FittedPreprocessor | None:
+        """The fitted recipe, or None if it has not been kept."""
+        from pyspark.errors import AnalysisException
+
+        if not spec.standardize:
+            return FittedPreprocessor(spec, None)
+        try:
+            return FittedPreprocessor(spec, self.spark.read.parquet(f"{self.path}/{self.key(spec, data_identity)}"))
+        except AnalysisException:
+            return None

@@ -99,7 +99,7 @@ def interval_width(lower: str = "lower", upper: str = "upper") -> Column:
 def interval_score(a: str = A, lower: str = "lower", upper: str = "upper", alpha: float = 0.05) -> Column:
     lo, hi, y = F.col(lower), F.col(upper), F.col(a)
     under, over = F.when(y < lo, lo - y).otherwise(0.0), F.when(y > hi, y - hi).otherwise(0.0)
-    return F.avg(hi - lo + 2 / alpha * (under + over))
+    return F.avg(F.when(y.isNotNull(), hi - lo + 2 / alpha * (under + over)))
 
 
 def success_ratio(a: str = A, p: str = P, prev: str = "previous_actual") -> Column:

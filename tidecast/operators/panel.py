@@ -127,6 +127,15 @@ def infer_frequencies(panel: DataFrame, columns: Sequence[str] | None = None, by
     return gaps.groupBy(*keys).agg(median).select(*keys, label.alias("frequency"))
 
 
+def set_frequencies(bundle: DataBundle, frequency_by_column: Mapping[str, str], default: str | None = None) -> DataBundle:
+    """The bundle with a frequency for every column; without a default, each must be named."""
+    cols = value_columns(bundle.panel, None)
+    wrong = (set(frequency_by_column) - set(cols)) | ({c for c in cols if c not in frequency_by_column} if default is None else set())
+    if wrong or not set(frequency_by_column.values()) | {default or "monthly"} <= {"daily", "weekly", "monthly", "quarterly", "annual"}:
+        raise PanelError(f"frequencies do not fit the columns {sorted(wrong)}")
+    return DataBundle(bundle.panel, attach_metadata(bundle.metadata, "frequencies", {c: frequency_by_column.get(c, default) for c in cols}))
+
+
 def frequency_hardening_issues(frequencies: DataFrame) -> DataFrame:
     return frequencies.where(F.col("frequency").isin("unknown", "irregular"))
 

@@ -1,7 +1,7 @@
-"""A study as one grouped job: target x arm x horizon x chunk of origins.
+"""A study as one grouped job: target x arm x chunk of origins.
 
-A group holds one series once and works through a chunk of origins, so a series
-is shuffled a few times per arm and not once per origin.  A row at position p
+A group holds one series and works through a chunk of origins and all horizons, so
+a series is shuffled a few times per arm and not once per origin.  A row at position p
 may train an h-step model at origin o only if its target is known: p <= o - h.
 A fit that fails gives rows with ``error`` set, not a failed job.
 """
@@ -32,7 +32,7 @@ class Arm:
     name: str
     model: str
     params: Mapping[str, object] = field(default_factory=dict)
-    policy: str = "direct"  # direct, recursive, path_average
+    policy: str = "direct"  # direct, direct_average, recursive, path_average
     lags: int = 3
 
 
@@ -72,39 +72,60 @@ def forecast_origin(arm: Arm, y: np.ndarray, x: np.ndarray | None, o: int, h: in
             path = np.append(path, f(path[: -arm.lags - 1 : -1][None])[0])
         return float(path[-1])
     z = _design(y, x, arm.lags)
+    if arm.policy == "direct_average":
+        total = np.cumsum(np.concatenate([[0.0], y]))
+        mean = np.full(len(y), np.nan)  # of the h values after each row, kept where the last of them is
+        mean[h:] = (total[h + 1 :] - total[1 : len(y) - h + 1]) / h
+        return _direct(spec, params, z, mean, o, h, fit_from)
     if arm.policy == "path_average":
         return float(np.mean([_direct(spec, params, z, y, o, s, fit_from) for s in range(1, h + 1)]))
     return _direct(spec, params, z, y, o, h, fit_from)
 
 
+def actual_of(arm: Arm, y: np.ndarray, o: int, h: int) -> float:
+    """What a forecast is held against: the value h ahead, or for the averaging policies the mean of the h values."""
+    return float(y[o + 1 : o + h + 1].mean()) if arm.policy in ("direct_average", "path_average") else float(y[o + h])
+
+
 def run_arms(
     long: DataFrame, arms: Sequence[Arm], horizons: Sequence[int] = (1,), first_origin: int = 36, step: int = 1,
-    window: int | None = None, predictors: Sequence[str] = (), chunk: int = 16,
+    window: int | None = None, predictors: Sequence[str] = (), chunk: int = 32,
 ) -> DataFrame:
-    """Forecast table of all arms over a long panel (target, date, y, predictors)."""
-    spark = long.sparkSession
+    """Forecast table of all arms over a long panel (target, date, y, predictors).
+
+    ``step`` is the distance of origins.  A chunk of origins gets the rows up to the last date it is scored on
+    and, with a rolling ``window``, none from before its first one; all horizons share that copy.
+    """
+    spark, top = long.sparkSession, max(horizons)
+    held, ahead = list(arms), sorted(set(horizons))
+    reach = max((a.lags for a in held), default=1) - 1
     sizes = long.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    cells = spark.createDataFrame([(i, h) for i in range(len(arms)) for h in horizons], "cell int, horizon int")
+    cells = spark.createDataFrame([(i,) for i in range(len(held))], "cell int")
     chunks = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - first_origin) / (chunk * step)), F.lit(0)).cast("int"))).alias("chunk")
-    tasks = sizes.where(F.col("n") > first_origin).select("target", chunks).crossJoin(F.broadcast(cells))  # arms x horizons: the study's size
-    rows = long.select("target", "date", "y", *predictors).join(tasks, "target")
-    held = list(arms)
+    tasks = sizes.where(F.col("n") > first_origin).select("target", "n", chunks).crossJoin(F.broadcast(cells))  # arms: the study's size
+    start = first_origin + F.col("chunk") * chunk * step
+    low = F.greatest(start + 1 - window - reach, F.lit(0)) if window else F.lit(0)
+    tasks = tasks.select("target", "n", "cell", "chunk", low.alias("low"), (start + (chunk - 1) * step + top).alias("high"))
+    placed = long.select("target", "date", "y", *predictors, (F.row_number().over(Window.partitionBy("target").orderBy("date")) - 1).alias("pos"))
+    rows = placed.join(tasks, "target").where("pos BETWEEN low AND high")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
+        pdf = pdf.sort_values("pos")
         y = pdf["y"].to_numpy(float)
         x = pdf[list(predictors)].to_numpy(float) if predictors else None
-        arm, h, at = held[int(pdf["cell"].iloc[0])], int(pdf["horizon"].iloc[0]), int(pdf["chunk"].iloc[0])
-        dates, out = pdf["date"].to_numpy(), []
-        for o in range(first_origin + at * chunk * step, min(first_origin + (at + 1) * chunk * step, len(y) - h), step):
-            try:
-                p, error = forecast_origin(arm, y, x, o, h, max(0, o + 1 - window) if window else 0), None
-            except Exception as e:  # one fit must not end the study; the message is kept in its row
-                p, error = None, f"{type(e).__name__}: {e}"
-            out.append((pdf["target"].iloc[0], h, dates[o], o, dates[o + h], arm.name, arm.model, p, y[o + h], arm.policy, error))
+        arm, at, low, n = held[int(pdf["cell"].iloc[0])], int(pdf["chunk"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["n"].iloc[0])
+        target, dates, out = pdf["target"].iloc[0], pdf["date"].to_numpy(), []
+        for h in ahead:
+            for o in range(first_origin + at * chunk * step, min(first_origin + (at + 1) * chunk * step, n - h), step):
+                i = o - low
+                try:
+                    p, error = forecast_origin(arm, y, x, i, h, max(0, i + 1 - window) if window else 0), None
+                except Exception as e:  # one fit must not end the study; the message is kept in its row
+                    p, error = None, f"{type(e).__name__}: {e}"
+                out.append((target, h, dates[i], o, dates[i + h], arm.name, arm.model, p, actual_of(arm, y, i, h), arm.policy, error))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return rows.groupBy("target", "cell", "chunk", "horizon").applyInPandas(work, SCHEMA)
+    return rows.groupBy("target", "cell", "chunk").applyInPandas(work, SCHEMA)
 
 
 def run(long: DataFrame, model: str, horizon: int = 1, **options) -> DataFrame:

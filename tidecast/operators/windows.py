@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import DATE, ordered
@@ -45,11 +45,47 @@ class TestWindow:
     drop_incomplete: bool = True
 
 
+@dataclass(frozen=True)
+class AlignmentWindow:
+    """How features and targets meet: on shared dates with complete rows, or on all dates."""
+
+    mode: str = "drop_incomplete"  # drop_incomplete, keep_missing
+    join: str = "inner"  # inner, full
+    require_full_horizon: bool = True
+
+    def align(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        out = x.join(y, DATE, self.join)
+        out = out.dropna("any") if self.mode == "drop_incomplete" else out
+        targets = [c for c in y.columns if c != DATE]
+        return out.dropna("any", subset=targets) if self.require_full_horizon and targets else out
+
+
+def alignment_drop_incomplete(join: str = "inner", require_full_horizon: bool = True) -> AlignmentWindow:
+    return AlignmentWindow("drop_incomplete", join, require_full_horizon)
+
+
+def alignment_keep_missing(join: str = "inner", require_full_horizon: bool = True) -> AlignmentWindow:
+    return AlignmentWindow("keep_missing", join, require_full_horizon)
+
+
+#: Other names of windows.
+_WINDOW_NAMES = {"recursive": "expanding", "growing": "expanding", "moving": "rolling", "sliding": "rolling", "constant": "fixed"}
+
+
+def normalize_window_name(window: str) -> str:
+    name = window.strip().lower().replace("-", "_")
+    name = _WINDOW_NAMES.get(name, name)
+    if name not in ("expanding", "rolling", "fixed"):
+        raise ValueError(f"unknown window {window}")
+    return name
+
+
 @dataclass(frozen=True)
 class WindowSpec:
     estimation: EstimationWindow = EstimationWindow()
     val: ValWindow = ValWindow()
     test: TestWindow = TestWindow()
+    alignment: AlignmentWindow = AlignmentWindow()
 
     def origins(self, spark: SparkSession, n: int) -> DataFrame:
         return origins(spark, n, self)
@@ -181,12 +217,37 @@ def split_table(spark: SparkSession, validation: str, n: int, **options) -> Data
     return spark.createDataFrame(folds, "fold int, train_start int, train_end int, val_start int, val_end int")
 
 
+def resolve_window(window: WindowSpec | EstimationWindow | str | None = None) -> WindowSpec:
+    """A specification from one, an estimation window, its name, or nothing."""
+    if isinstance(window, WindowSpec):
+        return window
+    if isinstance(window, str):
+        return WindowSpec(EstimationWindow(normalize_window_name(window)))
+    return WindowSpec(window or EstimationWindow())
+
+
 @dataclass(frozen=True)
 class StagePolicy:
     scope: str = "fit_window"  # fit_window, estimation, origin_available, full_panel, fixed_reference
     update: str = "every_origin"  # every_origin, never, on_retrain, every_k
     every: int = 1
     reference: tuple[str, str] | None = None
+    selector: Callable[[Column, Column], Column] | None = None  # (row position, origin position) to a condition
+
+
+SCOPES = ("fit_window", "estimation", "origin_available", "full_panel", "fixed_reference", "custom")
+
+
+def custom_stage_policy(selector: Callable[[Column, Column], Column], update: str = "every_origin", **o) -> StagePolicy:
+    """Rows for which ``selector(pos, origin_pos)`` holds; it is a column expression, so the plan stays one join."""
+    return StagePolicy("custom", update, selector=selector, **o)
+
+
+def resolve_stage_policy(policy: StagePolicy | str | None, default_scope: str = "fit_window") -> StagePolicy:
+    out = policy if isinstance(policy, StagePolicy) else StagePolicy(policy or default_scope)
+    if out.scope not in SCOPES:
+        raise ValueError(f"unknown scope {out.scope}")
+    return out
 
 
 def stage_policy(scope: str = "fit_window", **o) -> StagePolicy:
@@ -207,6 +268,8 @@ def stage_panel(panel: DataFrame, origin_table: DataFrame, policy: StagePolicy)
         "origin_available": F.col("pos") <= F.col("origin_pos"),
         "full_panel": F.lit(True),
     }
+    if policy.scope == "custom":
+        allowed["custom"] = policy.selector(F.col("pos"), F.col("origin_pos"))
     if policy.scope == "fixed_reference":
         a, b = policy.reference
         return rows.where(F.col(DATE).between(F.lit(a).cast("date"), F.lit(b).cast("date"))).crossJoin(F.broadcast(o.select("origin_pos")))

@@ -36,7 +36,7 @@ SHIP_SQL = """panel AS (
 
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date (month), p1..p5: millions ordered by priority."""
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    rows = table(spark, sf_dir, "orders")
     return rows.groupBy(F.trunc("o_orderdate", "month").alias("date")).agg(
         *[(F.sum(F.when(F.col("o_orderpriority").startswith(str(i)), F.col("o_totalprice"))) / SCALE).alias(f"p{i}") for i in range(1, 6)]
     )
@@ -44,7 +44,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDER_SQL = "wide AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, " + ", ".join(
     f"sum(CASE WHEN o_orderpriority LIKE '{i}%' THEN o_totalprice END) / 999983.0 AS p{i}" for i in range(1, 6)
-) + " FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1)"
+) + " FROM orders GROUP BY 1)"
 P = ["p1", "p2", "p3", "p4", "p5"]
 
 
@@ -66,11 +66,11 @@ def _forecast_sql(h: int) -> str:
     past = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND {h} PRECEDING)"
     return f"""SELECT series AS target, {h} AS horizon, lag(date, {h}) OVER ({w}) AS origin,
       CAST(row_number() OVER ({w}) - 1 - {h} AS INTEGER) AS origin_pos, date, value AS actual,
-      last_value(value) OVER {past} AS naive, lag(value, 12) OVER ({w}) AS seasonal_naive, avg(value) OVER {past} AS hist_mean,
-      last_value(value) OVER {past} + {h} * (last_value(value) OVER {past} - first_value(value) OVER {past})
+      last_value(value IGNORE NULLS) OVER {past} AS naive, lag(value, 12) OVER ({w}) AS seasonal_naive, avg(value) OVER {past} AS hist_mean,
+      last_value(value IGNORE NULLS) OVER {past} + {h} * (last_value(value IGNORE NULLS) OVER {past} - first_value(value IGNORE NULLS) OVER {past})
         / nullif(count(value) OVER {past} - 1, 0) AS drift,
       CASE WHEN count(value) OVER m{h} = 3 THEN avg(value) OVER m{h} END AS ma3,
-      CASE WHEN count(x{h}) OVER {past} >= 24 THEN regr_intercept(value, x{h}) OVER {past} + regr_slope(value, x{h}) OVER {past} * x{h} END AS ar1
+      CASE WHEN regr_count(value, x{h}) OVER {past} >= 24 THEN regr_intercept(value, x{h}) OVER {past} + regr_slope(value, x{h}) OVER {past} * x{h} END AS ar1
     FROM (SELECT *, lag(value, {h}) OVER ({w}) AS x{h} FROM olong)
     WINDOW m{h} AS ({w} ROWS BETWEEN {h + 2} PRECEDING AND {h} PRECEDING)"""
 

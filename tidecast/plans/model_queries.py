@@ -19,13 +19,18 @@ def _long(spark, sf_dir):
     return order_long(spark, sf_dir).select(F.col("series").alias("target"), "date", F.col("value").alias("y"))
 
 
-_SUPERVISED = [n for n, m in MODELS.items() if m.kind == "supervised" and m.family not in ("gated", "tree", "spline", "neural")]
-for _n in _SUPERVISED:
-    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
+#: Parameters of models whose defaults take long on every origin of every series.
+_LIGHT = {
+    "lstm": {"max_epochs": 20, "learning_rate": 0.01, "hidden_size": 8}, "gru": {"max_epochs": 20, "learning_rate": 0.01, "hidden_size": 8},
+    "transformer": {"max_epochs": 20, "learning_rate": 0.01, "hidden_size": 8}, "hemisphere_nn": {"n_estimators": 3, "neurons": 16, "learning_rate": 0.01},
+    "density_hnn": {"n_estimators": 3, "prior_estimators": 2, "neurons": 16, "learning_rate": 0.01}, "booging": {"B": 4, "inner_n_estimators": 50},
+    "xgboost": {"n_estimators": 50}, "lightgbm": {"n_estimators": 50, "min_child_samples": 5}, "catboost": {"n_estimators": 50}, "lgba_plus": {"n_cycles": 5},
+    "stacking": {"models": ("ridge", "pcr", "knn")},
+}
+for _n in [n for n, m in MODELS.items() if m.kind == "supervised"]:
+    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n, _LIGHT.get(n, {}))], (1,), 60).drop("model"))
 for _n in [n for n, m in MODELS.items() if m.kind == "target" and n != "ucsv"]:
     query(f"model_{_n}_path")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (3,), 60).drop("model"))
-for _n in ("decision_tree", "random_forest", "extra_trees", "gradient_boosting", "quantile_regression_forest", "macro_random_forest", "mars", "nn"):
-    query(f"model_{_n}")(lambda s, d, n=_n: runner.run_arms(_long(s, d), [runner.Arm(n, n)], (1,), 60).drop("model"))
 
 query("model_ucsv_path")(lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ucsv", "ucsv", {"n_draws": 200, "burn": 80})], (3,), 60).drop("model"))
 
@@ -36,7 +41,7 @@ _COLS = "series AS target, 1 AS horizon, origin, CAST(pos - 1 AS INT) AS origin_
 query("run_ols_ar1", _RUN + f"r AS (SELECT *, regr_intercept(value, x) OVER {_PAST} + regr_slope(value, x) OVER {_PAST} * x AS p FROM n) SELECT {_COLS.format('ar1', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
     lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ar1", "ols", lags=1)], (1,), 36).drop("model")
 )
-query("run_ridge_ar1", _RUN + f"r AS (SELECT *, avg(value) OVER w + regr_sxy(value, x) OVER w / (regr_sxx(value, x) OVER w + 1) * (x - avg(x) OVER w) AS p, row_number() OVER ({W}) AS k FROM n WHERE x IS NOT NULL WINDOW w AS {_PAST}) SELECT {_COLS.format('ridge1', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
+query("run_ridge_ar1", _RUN + f"r AS (SELECT *, regr_avgy(value, x) OVER w + regr_sxy(value, x) OVER w / (regr_sxx(value, x) OVER w + 1) * (x - regr_avgx(value, x) OVER w) AS p FROM n WINDOW w AS {_PAST}) SELECT {_COLS.format('ridge1', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
     lambda s, d: runner.run_arms(_long(s, d), [runner.Arm("ridge1", "ridge", {"alpha": 1.0}, lags=1)], (1,), 36).drop("model")
 )
 query("run_hist_mean", _RUN + f"r AS (SELECT *, avg(value) OVER {_PAST} AS p FROM n) SELECT {_COLS.format('mean', 'p')} FROM r WHERE pos - 1 >= 36", "prediction actual")(
@@ -83,7 +88,7 @@ query("filter_hamilton")(lambda s, d: factors.hamilton_filter(order_long(s, d),
 query("filter_stl")(lambda s, d: factors.stl_decompose(order_long(s, d), "value", by=("series",)))
 query("filter_albama")(lambda s, d: factors.albama(order_long(s, d), "value", 30, by=("series",)))
 query("filter_hamilton_one_lag", L + f""", x AS (SELECT series, date, value, lag(value, 8) OVER ({W}) AS b FROM olong)
-SELECT series, date, CASE WHEN b IS NOT NULL THEN i + k * b END AS trend, CASE WHEN b IS NOT NULL THEN value - i - k * b END AS cycle FROM x JOIN (SELECT series, regr_intercept(value, b) AS i, regr_slope(value, b) AS k FROM x GROUP BY 1) USING (series)""", "trend cycle")(
+SELECT series, date, CASE WHEN b + value IS NOT NULL THEN i + k * b END AS trend, CASE WHEN b IS NOT NULL THEN value - i - k * b END AS cycle FROM x JOIN (SELECT series, regr_intercept(value, b) AS i, regr_slope(value, b) AS k FROM x GROUP BY 1) USING (series)""", "trend cycle")(
     lambda s, d: factors.hamilton_filter(order_long(s, d), "value", 8, 1, by=("series",))
 )
 query("analysis_stationarity")(lambda s, d: factors.stationarity_tests(order_long(s, d)))

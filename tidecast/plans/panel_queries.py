@@ -233,7 +233,7 @@ query("vintage_snapshots", _V + ", o AS (SELECT DISTINCT date + INTERVAL 14 DAY
     lambda s, d: panel.snapshots(_vintages(s, d), order_panel(s, d).select(F.date_add("date", 14).alias("origin")))
 )
 for _r, _f in (("latest", "max_by"), ("first_release", "min_by")):
-    query(f"vintage_actuals_{_r}", _V + f"SELECT series, date, {_f}(value, vintage) AS value FROM v GROUP BY 1, 2", "value")(lambda s, d, r=_r: panel.actuals(_vintages(s, d), r))
+    query(f"vintage_actuals_{_r}", _V + f"SELECT series, date, {_f}(value, vintage) AS value FROM v WHERE value IS NOT NULL GROUP BY 1, 2", "value")(lambda s, d, r=_r: panel.actuals(_vintages(s, d), r))
 
 # Windows.
 query("window_origins", "SELECT CAST(o AS INT) AS origin_pos, CAST(greatest(0, o - 24) AS INT) AS fit_start, CAST(o - 1 AS INT) AS fit_end, CAST(o AS INT) AS test_start, CAST(o + 2 AS INT) AS test_end, (o - 24) % 3 = 0 AS retrain, (o - 24) % 6 = 0 AND (o - 24) % 3 = 0 AS retune FROM range(24, 79) t(o) WHERE o + 2 < 79")(

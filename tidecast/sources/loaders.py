@@ -19,10 +19,89 @@ class RawParseError(RawDataError):
     """The file is not in the expected layout."""
 
 
+class RawVersionFormatError(RawDataError):
+    """A vintage is not written as YYYY-MM."""
+
+
+class RawVersionUnavailableError(RawDataError):
+    """There is no file of that vintage."""
+
+
+class RawDownloadError(RawDataError):
+    """A file could not be fetched."""
+
+
+class RawNetworkError(RawDownloadError):
+    """The network did not answer."""
+
+
+class RawManifestError(RawDataError):
+    """A manifest cannot be read or does not match its files."""
+
+
 class VintageUnavailableError(RawDataError):
     """No vintage at or before the origin."""
 
 
+#: Named groups of states.
+_DIVISIONS = {
+    "new_england": "CT ME MA NH RI VT", "middle_atlantic": "NJ NY PA", "east_north_central": "IL IN MI OH WI", "west_north_central": "IA KS MN MO NE ND SD",
+    "south_atlantic": "DE DC FL GA MD NC SC VA WV", "east_south_central": "AL KY MS TN", "west_south_central": "AR LA OK TX",
+    "mountain": "AZ CO ID MT NV NM UT WY", "pacific": "AK CA HI OR WA",
+}
+_REGIONS = {
+    "northeast": ("new_england", "middle_atlantic"), "midwest": ("east_north_central", "west_north_central"),
+    "south": ("south_atlantic", "east_south_central", "west_south_central"), "west": ("mountain", "pacific"),
+}
+STATE_GROUPS: dict[str, tuple[str, ...]] = {
+    **{f"census_division_{k}": tuple(v.split()) for k, v in _DIVISIONS.items()},
+    **{f"census_region_{k}": tuple(s for d in v for s in _DIVISIONS[d].split()) for k, v in _REGIONS.items()},
+    "contiguous_48_plus_dc": tuple(sorted({s for v in _DIVISIONS.values() for s in v.split()} - {"AK", "HI"})),
+}
+#: Named groups of state series.
+VARIABLE_GROUPS: dict[str, tuple[str, ...]] = {
+    "labor_market_core": ("ICLAIMS", "LF", "NA", "PARTRATE", "UR"), "employment_sector": ("CONS", "FIRE", "GOVT", "INFO", "MFG", "MFGHRS", "MINNG", "PSERV"),
+    "gsp_output": ("NQGSP", "CONSTNQGSP", "FIRENQGSP", "GOVNQGSP", "INFONQGSP", "MANNQGSP", "NATURNQGSP", "PSERVNQGSP", "UTILNQGSP"),
+    "housing": ("BPPRIVSA", "RENTS", "STHPI"), "trade": ("EXPORTS", "IMPORTS"), "income": ("OTOT",),
+}
+
+
+def _group(name: str | None, groups: Mapping[str, tuple[str, ...]], everything: str, custom: Sequence[str] | None) -> list[str] | None:
+    if custom is not None:
+        members = [c.strip() for c in custom]
+        if not members or not all(members):
+            raise ValueError("a group of one's own names its members")
+        return members
+    if name in (None, everything):
+        return None
+    if name not in groups:
+        raise ValueError(f"unknown group {name}; one of {sorted(groups)}")
+    return list(groups[name])
+
+
+def resolve_fred_sd_state_group(group: str | None = None, members: Sequence[str] | None = None) -> list[str] | None:
+    """States of a named group, or of one's own; None: all."""
+    own = None if members is None else [m.upper() for m in members]
+    return _group(group, STATE_GROUPS, "all_states", own)
+
+
+def resolve_fred_sd_variable_group(group: str | None = None, members: Sequence[str] | None = None) -> list[str] | None:
+    return _group(group, VARIABLE_GROUPS, "all_sd_variables", members)
+
+
+def select_state_panel(panel: DataFrame, states: Sequence[str] | None = None, variables: Sequence[str] | None = None) -> DataFrame:
+    """Columns ``<variable>_<state>`` of the asked states and variables."""
+    keep = [c for c in panel.columns if c != DATE and (states is None or c.rsplit("_", 1)[-1] in states) and (variables is None or c.rsplit("_", 1)[0] in variables)]
+    return panel.select(DATE, *keep)
+
+
+def parse_version(version: str) -> tuple[int, int]:
+    part = version.split("-")
+    if len(part) != 2 or not all(p.isdigit() for p in part) or len(part[0]) != 4 or not 1 <= int(part[1]) <= 12:
+        raise RawVersionFormatError(f"{version!r} is not YYYY-MM")
+    return int(part[0]), int(part[1])
+
+
 def _code_row(cells: Sequence[str]) -> bool:
     """A row of transformation codes: small whole numbers, the first cell free."""
     body = [c.strip() for c in cells[1:] if c.strip()]
