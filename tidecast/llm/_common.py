@@ -19,29 +19,80 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) a temporary folder
-    is made and set as the context's checkpoint folder.
+    Only a session in one process (``local``) may name none: a temporary folder is
+    then made and set as the context's checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="tidecast-scratch-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(f"file://{own}")
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Folders made in this process and not deleted yet.
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidecast/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidecast/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` cut from its lineage: written once to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` cut from its lineage: written once to the shared folder and read again.
+
+    What the write has shuffled is not read again, so Spark may delete it at once.
+    """
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, label)
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _SCRATCH.discard(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete ``written`` tables of which nothing is read any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch)
+
+
+def clear_scratch(docs: DataFrame) -> None:
+    """Delete what earlier operators of this process left, but for tables that ``docs`` still reads."""
+    names = {p.rsplit("/", 1)[1]: p for p in _SCRATCH}
+    read = {part for f in docs.inputFiles() for part in f.split("/")} if names else set()
+    for name, path in names.items():
+        if name not in read:
+            _delete(docs.sparkSession, path)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Rows here hold whole texts: batches to Python workers of some megabytes, unless the session has set a size."""
+    if spark.conf.get(_BATCH_BYTES, None) in (None, "64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH_BYTES, size)
 
 
 def give_back() -> None:

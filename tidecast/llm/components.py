@@ -4,7 +4,11 @@ Edges are first contracted inside each partition by a local union-find, which
 puts out at most one edge per node.  Then large-star and small-star rounds run
 until every component is a star around its smallest node; every round is written
 to the shared folder, so a lost executor costs one round at most, and nothing of
-the graph reaches the driver but one count.
+the graph reaches the driver but one count.  A round's table is deleted once the
+next one is written.
+
+Defined results: an edge from a node to itself and an edge with a null end make
+no component; repeated edges count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, written
+from ._common import drop, lean, written
 
 
 class UnionFind:
@@ -79,8 +83,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a != b").distinct(), "edges")
+        drop(now)
         # Small star: every node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        drop(large)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.scratch = now.scratch
+    return out

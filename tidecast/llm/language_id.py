@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows
+from ._common import give_back, map_rows, small_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SEGMENT = 1 << 19
@@ -177,12 +177,14 @@ def predict_texts(model: PpmModel, texts: list[str | None]) -> tuple[list[str],
 
 def predict_language(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def predicted(text: pd.Series) -> pd.DataFrame:
         lang, score = predict_texts(shared.value, text.tolist())
+        give_back()
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return (

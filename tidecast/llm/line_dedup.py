@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_count, lean, written
+from ._common import bucket_count, drop, lean, small_batches, written
 from .components import UnionFind, connected_components
 from .sketch import key_filter, may_hold
 
@@ -199,7 +199,7 @@ def bucket_members(occurrences: DataFrame) -> DataFrame:
 
 
 def texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, line text for every key of ``keys`` (key), read from ``rows`` again."""
+    """key, line text for every key of ``keys`` (key), read from ``rows`` again; a written table."""
     bits, width = key_filter(keys, "key")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -214,7 +214,9 @@ def texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array([lines[i] for i in at], pa.string())], names=["key", "said"])
 
     found = rows.select("text").mapInArrow(batches, "key long, said string")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("said").alias("said"))
+    table = written(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("said").alias("said")), "line-texts")
+    shared.destroy()
+    return table
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float) -> DataFrame:
@@ -286,8 +288,10 @@ def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, simil
     """node, root for every line that is linked to a different one."""
     members = written(bucket_members(occurrences), "line-buckets")
     keys = members.select("key").union(members.select("leader")).distinct()
-    texts = written(texts_of(rows, keys), "line-texts")
-    return bucket_components(members, texts, partial(shingle_sets, shingle=shingle), similarity)
+    texts = texts_of(rows, keys)
+    roots = bucket_components(members, texts, partial(shingle_sets, shingle=shingle), similarity)
+    drop(members, texts)
+    return roots
 
 
 def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512) -> DataFrame:
@@ -307,7 +311,9 @@ def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, simil
     rest = told.join(once.select("bucket", "n"), F.col("band") == F.col("bucket")).select("bucket", "key", "root", "n")
     more = bucket_edges(rest, texts, sets_of, similarity, block)
     all_edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return connected_components(all_edges)
+    out = connected_components(all_edges)
+    drop(told, roots)
+    return out
 
 
 def line_dedup(
@@ -320,6 +326,7 @@ def line_dedup(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with the text left after removal, and ``lines_removed``."""
+    small_batches(docs.sparkSession)
     doc_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
     row = F.xxhash64(doc_id, text)
     keyed = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("doc"), row.alias("row"), text.alias("text"))
@@ -332,11 +339,13 @@ def line_dedup(
     firsts = said.groupBy("key").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
     firsts = written(firsts, "line-firsts")
+    drop(roots)
     keepers = firsts.groupBy("root").agg(F.min("at").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
     # Lines that stand once and alone need no look-up of their occurrences.
     repeated = firsts.select("key", "root").join(keepers.select("root", "keeper"), "root").select("key", "keeper")
     gone = said.join(repeated, "key").where(at != F.col("keeper")).groupBy("row").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("row").alias("gone_row"), "gone")
+    gone = written(gone.select(F.col("row").alias("gone_row"), "gone"), "line-gone")
+    drop(occurrences, firsts)
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), text.alias("text"), row.alias("row"))
     joined = own.join(gone, F.col("row") == F.col("gone_row"), "left")
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import drop, written
 
 STEPS = 60
 
@@ -130,6 +130,7 @@ def mix_sources(
     # What of the last epoch each block may still hold: all of it, a part, or nothing.
     last = blocks.withColumn("room", rest - (upto - F.col("size"))).where("room > 0")
     last = written(last.select(F.col("_source").alias("l_source"), F.col("_block").alias("l_block"), "size", "room"), "mix-last")
+    drop(lean, totals)
 
     dealt = rows.join(budgets, "_source").withColumn("_block", block)
     whole = dealt.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), epochs - 1))).where(epochs > 0)
