@@ -39,7 +39,10 @@ def rows(df):
     return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False, name=None))
 
 
-ON_ORDERS = ("forecast", "flagship", "metrics", "combine", "test_", "diagnostic", "oos", "run_", "study", "interpret", "evaluate", "vintage", "filter", "pipeline")
+ON_ORDERS = (
+    "forecast_table", "flagship", "metrics_point", "metrics_rank", "metrics_mase", "metrics_error", "combine_mean", "combine_inverse", "test_diebold", "test_directional",
+    "diagnostic_rolling", "oos", "run_", "study", "evaluate", "interpret_dual", "vintage_actuals", "filter_hamilton_one",
+)
 
 
 @pytest.mark.parametrize("folder, name", [(SF, n) for n in sorted(ORACLE_SQL)] + [(GAPS, n) for n in sorted(ORACLE_SQL) if n.startswith(ON_ORDERS)])

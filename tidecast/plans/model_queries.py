@@ -138,9 +138,16 @@ query("interpret_weight_diagnostics", _WT + ", t AS (SELECT *, abs(weight - lag(
 
 
 def _attention(s, d):
-    f = _features(s, d).orderBy("date").toPandas()  # one small panel, one model
-    w = interpret.ols_attention_weights(f[_X].to_numpy()[:60], f[_X].to_numpy()[60:], 1e-8)
-    return s.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(w)], "test_row int, train_row int, weight double")
+    """Weights of the first sixty complete months in the predictions of the later ones."""
+    import pandas as pd
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("date")[_X].to_numpy(float)
+        w = interpret.ols_attention_weights(x[:60], x[60:], 1e-8)
+        i, j = np.indices(w.shape)
+        return pd.DataFrame({"test_row": i.ravel(), "train_row": j.ravel(), "weight": w.ravel()})
+
+    return _features(s, d).select("date", *_X).groupBy().applyInPandas(work, "test_row int, train_row int, weight double")
 
 
 query("interpret_attention_weights")(_attention)

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import interpret_models as im
-from ..operators import joint_tests, metrics, runner, searching, specs, study, suites
+from ..operators import interpret, joint_tests, metrics, runner, searching, specs, study, suites
+from ..operators.forecasters import DEFAULT, window_forecasts
 from ..sources import reporting
-from .bases import FORECAST_SQL, ORDER_LONG_SQL, P, forecasts, order_long, order_panel
+from .bases import FORECAST_SQL, ORDER_LONG_SQL, SCALE, P, forecasts, order_long, order_panel, table
 from .registry import query
 
 X = f"WITH {FORECAST_SQL} "
@@ -265,3 +266,37 @@ query("report_forecast_path", X + " SELECT date, model AS line, prediction AS va
 query("report_fluctuation_path", _D + ", m AS (SELECT *, CASE WHEN count(d) OVER w = 12 THEN avg(d) OVER w END AS m, sum(d * d) OVER (PARTITION BY model) / (count(d) OVER (PARTITION BY model) - 1) AS v FROM d WHERE target = 'p1' AND horizon = 1 WINDOW w AS (PARTITION BY model ORDER BY date ROWS 11 PRECEDING)) SELECT date, model, sqrt(12) * m / sqrt(v) AS value FROM m WHERE m IS NOT NULL AND v > 0", "value")(
     lambda s, d: reporting.fluctuation_test_data(forecasts(s, d), "naive", "p1", 1, 12)
 )
+
+
+# A panel of many series: supplier x size of part, by month.
+
+
+def _many(s, d):
+    rows = table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    g = rows.groupBy("l_suppkey", "p_size", F.trunc("l_shipdate", "month").alias("date")).agg((F.sum("l_extendedprice") / SCALE).alias("y"))
+    return g.select(F.concat_ws("-", "l_suppkey", "p_size").alias("target"), "date", "y")
+
+
+_MANY = "WITH g AS (SELECT l_suppkey || '-' || p_size AS target, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_extendedprice) / 999983.0 AS y FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"
+query("forecast_many_series", _MANY + """, f AS (SELECT target, date, y AS actual, last_value(y) OVER w AS naive, avg(y) OVER w AS hist_mean, row_number() OVER (PARTITION BY target ORDER BY date) - 2 AS pos, lag(date) OVER (PARTITION BY target ORDER BY date) AS origin FROM g WINDOW w AS (PARTITION BY target ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT target, 1 AS horizon, origin, CAST(pos AS INT) AS origin_pos, date, m AS model, p AS prediction, actual FROM (SELECT *, naive AS a, hist_mean AS b FROM f WHERE pos >= 2) CROSS JOIN LATERAL (VALUES ('naive', a), ('hist_mean', b)) x(m, p)""", "prediction actual")(
+    lambda s, d: window_forecasts(_many(s, d), (1,), {"naive": DEFAULT["naive"], "hist_mean": DEFAULT["hist_mean"]}, ar1=False, min_train=2)
+)
+query("accuracy_many_series", _MANY + """, f AS (SELECT target, date, y, last_value(y) OVER w AS naive, avg(y) OVER w AS hist_mean, row_number() OVER (PARTITION BY target ORDER BY date) - 2 AS pos FROM g WINDOW w AS (PARTITION BY target ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT 1 AS horizon, m AS model, avg((y - p) ^ 2) AS mse, sqrt(avg((y - p) ^ 2)) AS rmse, avg(abs(y - p)) AS mae, count(*) AS n FROM (SELECT *, naive AS a, hist_mean AS b FROM f WHERE pos >= 2) CROSS JOIN LATERAL (VALUES ('naive', a), ('hist_mean', b)) x(m, p) GROUP BY 2""", "mse rmse mae")(
+    lambda s, d: metrics.evaluate_forecasts(window_forecasts(_many(s, d), (1,), {"naive": DEFAULT["naive"], "hist_mean": DEFAULT["hist_mean"]}, ar1=False, min_train=2), ("horizon", "model"), ("mse", "rmse", "mae"))
+)
+
+
+def _study_of_many(s, d):
+    """Two arms on every series of 24 months or more: one grouped job over thousands of series."""
+    rows = _many(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("target"))).where("n >= 24").drop("n")
+    return runner.run_arms(rows, [runner.Arm("ar1", "ols", lags=1), runner.Arm("ridge", "ridge")], (1, 3), 18, step=3).groupBy("arm", "horizon").agg(F.count("prediction").alias("n"), F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("mae"))
+
+
+query("run_many_series")(_study_of_many)
+_CUTS = ", ".join(str(i / 10) for i in range(1, 10))
+query("interpret_ale", L + f""", q AS (SELECT quantile_cont(p2, [{_CUTS}]) AS e FROM wide WHERE p2 IS NOT NULL), b AS (SELECT CAST(1 + len(list_filter(e, lambda v: p2 > v)) AS INT) AS bin, p3 FROM wide, q WHERE p2 IS NOT NULL AND p3 IS NOT NULL),
+g AS (SELECT bin, avg(p3) AS local, count(*) AS n FROM b GROUP BY 1), a AS (SELECT *, sum(local) OVER (ORDER BY bin) AS s FROM g) SELECT bin, local, n, s - sum(s * n) OVER () / sum(n) OVER () AS ale FROM a""", "local ale")(
+    lambda s, d: interpret.accumulated_local_effect(order_panel(s, d).dropna(subset=["p2", "p3"]), "p2", "p3")
+)
