@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
 
 def _load() -> None:
-    from . import evaluation_queries, model_queries, panel_queries, study_queries  # noqa: F401
+    from . import detail_queries, evaluation_queries, model_queries, panel_queries, study_queries  # noqa: F401
 
 
 _load()
