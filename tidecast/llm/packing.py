@@ -8,12 +8,13 @@ capacity, largest first, pair with the largest such piece that still fits, at
 most two to a bin; then smaller pieces, largest first, go to the smallest gap
 that holds them.  The plan says for ranges of ranks within a length which bin
 and offset they get, and pieces meet it by their rank.  Ranks are counted in
-two steps, by (length, salt) and within, so no length needs one task.
+two steps, by (length, salt) and within, with as many salts as a length has
+``salt_rows`` pieces, so no length needs one task.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows
 are packed as often as they occur; a null id is passed on; an empty table gives
 no rows; other columns of the input are not read by ``tokenize_pieces`` and are
-passed on by ``pack``.
+passed on by ``pack``, but for any named sequence_id or offset, which it sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_count, written
+from ._common import lean, small_batches, written
 
 CAPACITY = 2048
 #: Fixed value: the published pattern that byte-level BPE files with ``use_regex`` stand for.
@@ -111,6 +112,7 @@ def tokenize_pieces(
     """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit)."""
     end = end_id.to_bytes(4, "little")
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _default_encoder(tokenizer_path)
         for batch in it:
@@ -137,6 +139,7 @@ def tokenize_pieces(
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     return rows.mapInArrow(batches, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -208,35 +211,34 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, any more) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = 1 << 10) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, any more) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salts = min(64, bucket_count(spark))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(6)), F.lit(salts)).cast("int"))
-    items = written(salted, "pieces")
-    parts = items.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    parts = written(parts, "piece-lengths")
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        plan_bins(histogram, capacity), "_length long, _from long, _to long, _bin long, _per long, _offset long"
-    )
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    own = F.struct(*[F.col(c) for c in kept]).alias("own")
+    hashed = F.xxhash64("doc_id", "piece", F.lit(6)).alias("hash")
+    items = written(pieces.select(own, "length", hashed), "pieces")
+    histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Both tables have some rows per length, however many pieces there are.
+    salts = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "of_length long, salts long")
+    plan = spark.createDataFrame(plan_bins(histogram, capacity), "of_length long, first long, end long, bin long, per_bin long, at long")
+    salted = items.join(F.broadcast(salts), F.col("length") == F.col("of_length"))
+    salted = salted.select("own", "length", F.pmod("hash", "salts").cast("int").alias("salt"))
+    parts = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-lengths")
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        F.col("length").alias("of_length"), F.col("salt").alias("of_salt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
     )
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start"))
-    ranked = items.withColumn("_rank", within - 1)
-    ranked = ranked.join(offsets, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    # The plan has some rows per length, however many pieces there are.
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("own.doc_id", "own.piece", "own.start")) - 1
+    ranked = salted.withColumn("within", within)
+    ranked = ranked.join(offsets, (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
+    ranked = ranked.select("own", "length", (F.col("within") + F.col("before")).alias("rank"))
     placed = ranked.join(
-        F.broadcast(plan),
-        (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")),
+        F.broadcast(plan), (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     )
-    nth = F.col("_rank") - F.col("_from")
+    nth = F.col("rank") - F.col("first")
     return placed.select(
-        *[c for c in pieces.columns],
-        (F.col("_bin") + F.floor(nth / F.col("_per"))).cast("bigint").alias("sequence_id"),
-        (F.col("_offset") + nth % F.col("_per") * F.col("length")).cast("bigint").alias("offset"),
+        *[F.col("own").getField(c).alias(c) for c in kept],
+        (F.col("bin") + F.floor(nth / F.col("per_bin"))).cast("bigint").alias("sequence_id"),
+        (F.col("at") + nth % F.col("per_bin") * F.col("length")).cast("bigint").alias("offset"),
     )
