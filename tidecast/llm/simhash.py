@@ -4,13 +4,16 @@ Fingerprints: ASCII-lower-cased words, three-word shingles (repeats included),
 XXH64 with seed 42, a bit is 1 if set in over half of the hashes.
 
 Search: equal fingerprints form one class, so only distinct ones are compared.
-Two fingerprints within radius r agree on at least one of r + 1 bit bands, so
-each goes to r + 1 shards, one per (band, band value); no link is lost.  Each
-shard is held as BK-trees of at most ``tree_size`` nodes whose children are
+Two fingerprints within radius r agree on at least b - r of b bit blocks, so each
+goes to one shard per choice of b - r blocks and their values; no link is lost.
+b follows the number of fingerprints (three shards of 21 bits each up to some
+millions, ten of 38 or 39 bits up to 10**12), so shards stay small.  Each shard
+is held as BK-trees of at most ``tree_size`` nodes whose children are
 keyed by their integer Hamming distance to the parent, and a search follows only
-edges within the radius.  The trees grow with the corpus, so they are not
-broadcast to every executor but only to the blocks of their own shard: a shard
-of more than one tree is worked off as pairs of blocks.  Every task puts out
+edges within the radius.  All trees together hold the fingerprints of all
+documents, and a broadcast goes through the driver, so a tree is sent only to the
+blocks of its own shard: a shard of more than one tree is worked off as pairs of
+blocks.  Every task puts out
 star edges of its local union-find, never all pairs; components follow from
 ``components.connected_components``.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_count, written
+from ._common import bucket_count, drop, lean, small_batches, written
 from .components import UnionFind, connected_components
 
 _SEGMENT = 1 << 16
@@ -57,12 +61,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for every row."""
 
+    @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = batch.column(1)
             fp = np.fromiter((fingerprint(texts[i].as_py(), words) for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     return rows.mapInArrow(batches, "doc_id long, fp long")
 
@@ -108,21 +114,31 @@ def link_blocks(tree_side: list[int], asked: list[int] | None, radius: int, sets
             sets.union(x, y)
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 bands over 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def blocks_for(n: int, radius: int, per_shard: int = 4) -> int:
+    """Bit blocks (radius + 1 at least) so that ``n`` random fingerprints leave about ``per_shard`` in a shard."""
+    for blocks in range(radius + 1, radius + 5):
+        if n <= per_shard << (64 * (blocks - radius) // blocks):
+            break
+    return blocks
 
 
-def hamming_edges(prints: DataFrame, radius: int = 2, tree_size: int = 4096) -> DataFrame:
+def shard_bits(radius: int, blocks: int) -> list[int]:
+    """The masks of each choice of ``blocks - radius`` of the bit blocks."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(x) for x in combinations(block, blocks - radius)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hamming_edges(prints: DataFrame, radius: int = 2, tree_size: int = 4096, blocks: int | None = None) -> DataFrame:
     """Star edges (a, b) whose components are those of all distinct ``fp`` within the radius."""
-    buckets = bucket_count(prints.sparkSession)
-    shards = F.array(
-        *[
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).alias("part"))
-            for i, (s, n) in enumerate(_bands(radius))
-        ]
-    )
+    n = prints.count()
+    buckets = max(bucket_count(prints.sparkSession), n >> 16)  # tasks of bounded size
+    masks = shard_bits(radius, blocks or blocks_for(n, radius))
+    shards = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])
     rows = prints.select("fp", F.explode(shards).alias("s")).select("s.band", "s.part", "fp")
     sizes = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(sizes, ["band", "part"])
@@ -161,11 +177,13 @@ def simhash_components(docs: DataFrame, radius: int = 2, tree_size: int = 4096,
     """doc_id, fp, component_id: one row per row of ``docs``."""
     prints = written(fingerprints(docs, words=words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = written(classes, "fingerprint-classes")
     roots = connected_components(hamming_edges(classes.select("fp"), radius, tree_size))
     placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     placed = written(placed, "fingerprint-roots")
+    drop(classes, roots)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     known = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
