@@ -326,19 +326,19 @@ def realized_garch(y: np.ndarray, h: int = 1, realized: np.ndarray | None = None
 
 
 def _mean_aligned(v: np.ndarray, m: np.ndarray, goal: float) -> np.ndarray:
-    """The nearest non-negative weights with m'w = goal, by bisecting the multiplier; without any, the nearest non-negative."""
+    """The nearest non-negative weights with m'w = goal: the multiplier lies between two points where a weight leaves zero.
+
+    Without any such weights, the nearest non-negative ones.
+    """
     if goal == 0 or not (np.sign(goal) * m > 0).any():
         return np.maximum(v, 0)
-    at = lambda t: np.maximum(v + t * m, 0)
-    lo, hi = -1.0, 1.0
-    while m @ at(hi) < goal and hi < 1e15:
-        hi *= 2
-    while m @ at(lo) > goal and lo > -1e15:
-        lo *= 2
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if m @ at(mid) < goal else (lo, mid)
-    return at((lo + hi) / 2)
+    at = lambda t: np.maximum(v + np.multiply.outer(t, m), 0)
+    turns = np.sort(-v[m != 0] / m[m != 0])
+    turns = np.concatenate([[turns[0] - 1], turns, [turns[-1] + 1]])
+    held = at(turns) @ m  # does not fall
+    k = int(np.clip(np.searchsorted(held, goal), 1, len(turns) - 1))
+    rise = held[k] - held[k - 1]
+    return at(turns[k - 1] + (goal - held[k - 1]) / rise * (turns[k] - turns[k - 1]) if rise > 0 else turns[k])
 
 
 def solve_weights(
