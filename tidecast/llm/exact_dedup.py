@@ -61,18 +61,17 @@ def keepers_by_stream(
     id_col: str,
     text_col: str,
     digest: Callable[[Column], Column],
-    max_files_per_trigger: int | None,
+    max_bytes_per_trigger: int,
+    home: str | None,
 ) -> DataFrame:
-    """Run the stream over all files at ``path``; digest, n, keeper as the state ends."""
-    source = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_files_per_trigger:
-        source = source.option("maxFilesPerTrigger", max_files_per_trigger)
+    """Run the stream over the files at ``path`` it has not met yet; digest, n, keeper as the state ends."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", max_bytes_per_trigger)
     state = (
         _keyed(source.parquet(_globbed(path)), id_col, text_col, digest)
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("keeper"))
     )
-    home = scratch_path(spark, "exact-dedup")
+    home = home or scratch_path(spark, "exact-dedup")
 
     def keep(batch: DataFrame, number: int) -> None:
         # A batch that is run again after a failure replaces its own folder.
@@ -94,9 +93,11 @@ def keepers_by_stream(
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest binary, n bigint, keeper {_KEEPER}, batch int"
-    empty = spark.createDataFrame([], schema)
-    if query.lastProgress is None or not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
-        return empty.drop("batch")
+    if query.exception():
+        raise query.exception()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/updates")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # no file ever
+        return spark.createDataFrame([], schema).drop("batch")
     updates = spark.read.schema(schema).option("basePath", f"{home}/updates").parquet(f"{home}/updates")
     last = F.max_by(F.struct("n", "keeper"), "batch").alias("last")
     return updates.groupBy("digest").agg(last).select("digest", "last.n", "last.keeper")
@@ -108,13 +109,17 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_digest,
-    max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int = 1 << 40,
+    home: str | None = None,
 ) -> DataFrame:
     """One row per row of the Parquet table at ``path``.
 
-    Columns: id, text, digest, keep_id, group_size, kept.
+    Columns: id, text, digest, keep_id, group_size, kept.  ``home`` names a shared
+    folder for the stream's state: a later call with the same one goes on from
+    there and reads only files added since to the state.  Files are taken in
+    micro-batches of about ``max_bytes_per_trigger``.
     """
-    keepers = keepers_by_stream(spark, path, id_col, text_col, digest, max_files_per_trigger)
+    keepers = keepers_by_stream(spark, path, id_col, text_col, digest, max_bytes_per_trigger, home)
     rows = _keyed(spark.read.parquet(path), id_col, text_col, digest)
     claimed = rows.join(keepers, "digest")
     single = claimed.where("n = 1").select(
