@@ -5,8 +5,11 @@ hash over the whole table: the exact neighbour graph of the sample; a balanced
 partition of that graph (seeded by balanced assignment, refined by neighbour
 votes under a capacity); a small network with one hidden layer that learns from
 a vector the partitions of its neighbours.  Every row of the table is then put
-into its most probable partition, and a query goes to its ``probes`` most
-probable ones, where all vectors are scored exactly in double precision.
+into its most probable partition, and a query goes to its most probable ones,
+where all vectors are scored exactly in double precision.  How many those are is
+told by the sample too: the fewest with which rows kept from the fit find ``recall``
+of their neighbours in it.  Neighbours in the whole table are nearer, so the recall
+there is as good or better; vectors with structure need few partitions.
 
 Searching joins two tables by partition.  A partition of more rows than a block
 is dealt out to several blocks and its queries go to each, so a partition that
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import drop, lean, written
 
 _SLACK = 1e-9
 
@@ -118,15 +121,37 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: in
     return Router(*weights)
 
 
-def fit_router(sample: np.ndarray, parts: int, graph_k: int = 16) -> Router:
-    if len(sample) < 4 * parts:  # too few to part
-        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(sample, graph_k)
-    part = balanced_partition(sample, graph, parts)
-    target = np.zeros((len(sample), parts))
-    np.add.at(target, (np.arange(len(sample)), part), graph.shape[1] / 4)
-    np.add.at(target, (np.repeat(np.arange(len(sample)), graph.shape[1]), part[graph.reshape(-1)]), 1.0)
-    return train_router(sample, target / target.sum(1, keepdims=True))
+def fit_router(sample: np.ndarray, parts: int, recall: float, graph_k: int = 16) -> tuple[Router, int]:
+    """A router over at most ``parts`` partitions and the number of them a query has to visit.
+
+    It learns from three rows of four; the others tell the probes.  A partition is
+    never made for fewer than four rows.
+    """
+    held = np.arange(len(sample)) % 4 == 3
+    x = sample[~held]
+    parts = max(1, min(parts, len(x) // 4))
+    if not held.any() or parts == 1:
+        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
+    graph = neighbour_graph(x, graph_k)
+    part = balanced_partition(x, graph, parts)
+    target = np.zeros((len(x), parts))
+    np.add.at(target, (np.arange(len(x)), part), graph.shape[1] / 4)
+    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.reshape(-1)]), 1.0)
+    router = train_router(x, target / target.sum(1, keepdims=True))
+    return router, probes_for(router, sample, np.flatnonzero(held), recall, graph_k)
+
+
+def probes_for(router: Router, sample: np.ndarray, asked: np.ndarray, recall: float, k: int) -> int:
+    """The fewest probes with which rows that the router has not seen find that share of their neighbours in the sample."""
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-s, min(k, s.shape[1] - 1) - 1, axis=1)[:, :k]
+    order = np.argsort(-router.logits(sample), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
+    visit = np.take_along_axis(rank[asked], order[:, 0][near], 1)  # when a query comes to each neighbour's partition
+    found = np.cumsum(np.bincount(visit.reshape(-1), minlength=order.shape[1])) / visit.size
+    return int(np.searchsorted(found, recall - 1e-12) + 1)
 
 
 def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -166,10 +191,19 @@ def best_in_block(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarr
             i, j = np.nonzero(s >= kth - _SLACK * np.maximum(1, np.minimum(np.abs(kth), 1e300)))
         else:
             i, j = np.nonzero(s > -np.inf)
-        score = (q[a + i] * c[j]).sum(1)
-        rows = pd.DataFrame({"query_id": q_id[a + i], "vec_id": c_id[j], "score": score})
-        rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        out.append(rows.groupby("query_id", sort=False).head(k))
+        # Many candidates may tie; they are scored and cut some queries at a time.
+        ends = np.searchsorted(i, np.arange(len(s)), "right")
+        first = 0
+        while first < len(s):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + 65536, "right")))
+            some = slice(before, ends[last - 1])
+            parts = [slice(b, min(b + 65536, some.stop)) for b in range(some.start, some.stop, 65536)]
+            score = np.concatenate([(q[a + i[p]] * c[j[p]]).sum(1) for p in parts] or [[]])
+            rows = pd.DataFrame({"query_id": q_id[a + i[some]], "vec_id": c_id[j[some]], "score": score})
+            rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            out.append(rows.groupby("query_id", sort=False).head(k))
+            first = last
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -177,8 +211,9 @@ def nearest_by_partitions(
     table: DataFrame,
     is_query: Column,
     k: int = 20,
-    parts: int = 16,
-    probes: int = 13,
+    parts: int = 64,
+    probes: int | None = None,
+    recall: float = 0.93,
     sample_rows: int = 4096,
     block_rows: int = 16384,
     query_rows: int = 2048,
@@ -187,15 +222,18 @@ def nearest_by_partitions(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: up to ``k`` nearest found of each query.
 
-    ``is_query`` is a condition on ``vec_id``.
+    ``is_query`` is a condition on ``vec_id``; ``probes`` sets the partitions a query visits, otherwise told by ``recall``.
     """
     spark = table.sparkSession
     vectors = written(usable_vectors(table, id_col, vec_col), "vectors")
     sample = sample_vectors(vectors, sample_rows)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = spark.sparkContext.broadcast(fit_router(sample, parts))
+    fitted, enough = fit_router(sample, parts, recall)
+    probes = probes or enough
+    router = spark.sparkContext.broadcast(fitted)
 
+    @lean
     def routed(batches):
         for pdf in batches:
             x = np.array(pdf["vec"].tolist(), np.float64)
@@ -204,6 +242,8 @@ def nearest_by_partitions(
 
     rows = vectors.select("vec_id", "vec", is_query.alias("q"))
     rows = written(rows.mapInPandas(routed, "vec_id long, vec binary, q boolean, near array<int>"), "routed")
+    router.destroy()
+    drop(vectors)
     candidates = rows.select("vec_id", "vec", F.element_at("near", 1).alias("part"))
     queries = rows.where("q").select("vec_id", "vec", F.explode("near").alias("part"))
     sizes = candidates.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
