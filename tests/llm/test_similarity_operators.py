@@ -88,8 +88,8 @@ def test_links_of_close_prints(spark):
     near = base + [b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (6, 2))]
     near += [near[-1] ^ (1 << i) for i in range(64)]
     signed = [x - 2**64 if x >= 2**63 else x for x in dict.fromkeys(near)]
-    for size in (4096, 5):
-        edges = simhash.hamming_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, size)
+    for size, blocks in ((4096, None), (5, 3), (4096, 4), (5, 5)):
+        edges = simhash.hamming_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, size, blocks)
         got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
         uf = UnionFind()
         for i, a in enumerate(signed):
@@ -99,6 +99,13 @@ def test_links_of_close_prints(spark):
         assert all(got.get(x, x) == uf.find(x) for x in signed)
 
 
+def test_shards_stay_small():
+    assert [simhash.blocks_for(n, 2) for n in (0, 1 << 20, 1 << 30, 1 << 38)] == [3, 3, 4, 5]
+    for blocks, masks in ((3, 3), (4, 6), (5, 10)):
+        bits = simhash.shard_bits(2, blocks)
+        assert len(bits) == masks and all(any((a | b) & m == 0 for m in bits) for a in map(lambda i: 1 << i, range(64)) for b in map(lambda i: 1 << i, range(64)))
+
+
 def test_bk_tree_follows_only_near_edges():
     t, rng = simhash.BkTree(), np.random.default_rng(1)
     values = [int(x) for x in rng.integers(0, 2**63, 300)]
@@ -143,6 +150,22 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest_by_partitions(df.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_hot_ties_are_cut_by_id():
+    rows = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000, [0.5, 0.5])]
+    out = ann.best_in_block(np.arange(300), np.ones((300, 2)) * [1, 0], np.array([i for i, _ in rows]), np.array([v for _, v in rows]), 3)
+    assert len(out) == 900 and out[out["query_id"] == 1]["vec_id"].tolist() == [0, 2, 3]
+
+
+def test_structured_vectors_need_few_partitions():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(32, 16))
+    x = centres[rng.integers(0, 32, 2000)] + 0.05 * rng.normal(size=(2000, 16))
+    _, probes = ann.fit_router(x, 16, 0.95)
+    assert probes <= 5
+    _, probes = ann.fit_router(rng.normal(size=(2000, 64)), 16, 0.95)
+    assert probes > 8
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     part = ann.balanced_partition(x, ann.neighbour_graph(x, 8), 6)
@@ -211,13 +234,59 @@ def test_sketch_never_underestimates(spark):
     assert sketch.may_hold(bits, values.view(np.uint64), width).all()
 
 
+@pytest.mark.parametrize("cells", [[], [0], [255], [0, 1, 254, 255, 256, 765, 766, 10_000], list(range(0, 5000, 3))])
+def test_packed_cells_come_back(cells):
+    assert sketch.unpacked_cells(sketch.packed_cells(np.array(cells, np.int64))).tolist() == cells
+
+
+def test_merged_sketch_in_memory():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    parts = np.array_split(np.concatenate([h, h[:700], h[:10]]), 6)
+    for log_width in (8, 15):
+        s = sketch.CountMin(log_width)
+        for p in parts:
+            s.merge(sketch.CountMin(log_width).add(p))
+        whole = sketch.CountMin(log_width).add(np.concatenate(parts))
+        assert (s.again == whole.again).all() and s.repeated(h[:700]).all()
+    assert s.repeated(h[700:]).mean() < 0.1
+
+
+def test_tiny_sketches_and_chunks_lose_no_window(spark, monkeypatch):
+    """Crowded sketches only pass more; chunks of a few words leave all to the grouping."""
+    docs = documents(spark).select("doc_id", "text").where("doc_id < 60")
+    want = brute_substring([(r["doc_id"], r["text"]) for r in docs.collect()], 20)
+    for name, value in (("log_width_for", lambda n: 6), ("_CHUNK_WORDS", 1), ("_PART_ROWS", 5)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = substring_dedup.substring_dedup(docs, 20).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in got) == want
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 18])
+def test_substring_dedup_of_repeats_within_and_between(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "_CHUNK_WORDS", chunk)
+    loop, own = "a b c d e " * 12, " ".join(f"z{i}" for i in range(30))
+    rows = [(1, loop), (2, own + " " + loop), (3, own), (3, own + " tail"), (3, own), (None, own), (None, "q " + own), (0, "x " * 300), (5, "x " * 40), (4, loop + own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.substring_dedup(docs, 6).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in got) == brute_substring(rows, 6)
+
+
 # Line dedup.
 
 
+def plain_shingles(line, n=8):
+    return frozenset(line[i : i + n] for i in range(max(1, len(line) - n + 1)))
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def brute_lines(rows, similarity=0.8):
     lines = sorted(((d is None, d or 0), j, i, x) for i, (d, t) in enumerate(rows) if t for j, x in enumerate(t.split("\n")) if x and not x.isspace())
     distinct = list(dict.fromkeys(x for *_, x in lines))
-    grams, uf = [line_dedup.shingles(x) for x in distinct], UnionFind()
+    grams, uf = [plain_shingles(x) for x in distinct], UnionFind()
     held = defaultdict(list)
     for i, g in enumerate(grams):
         common = Counter(j for s in g for j in held[s])
@@ -252,7 +321,7 @@ def test_minhash_estimates_jaccard():
     a = " ".join(rng.choice(words, 200))
     b = " ".join(x if rng.random() > 0.03 else "zzzzz" for x in a.split())
     sig = line_dedup.minhash_bands([a, b, "ab", "ab", "abc"], bands=400, rows=1)
-    assert abs((sig[0] == sig[1]).mean() - line_dedup.jaccard(line_dedup.shingles(a), line_dedup.shingles(b))) < 0.08
+    assert abs((sig[0] == sig[1]).mean() - plain_jaccard(plain_shingles(a), plain_shingles(b))) < 0.08
     assert (sig[2] == sig[3]).all() and not (sig[2] == sig[4]).any()
 
 
@@ -260,9 +329,12 @@ def test_similar_pairs_match_plain_jaccard():
     rng = np.random.default_rng(4)
     lines = ["".join(rng.choice(list("ab "), 40)) for _ in range(40)]
     lines += [x[:-1] + "z" for x in lines]
-    g = [line_dedup.shingles(x) for x in lines]
-    want = {(i, j) for i in range(len(g)) for j in range(i) if line_dedup.jaccard(g[i], g[j]) >= 0.8}
-    assert set(zip(*(v.tolist() for v in line_dedup.similar_pairs(g, 0.8, columns=50)))) == want
+    lines += ["", "a", "ab ", lines[0]]
+    g = [plain_shingles(x) for x in lines]
+    want = {(i, j) for i in range(len(g)) for j in range(i) if plain_jaccard(g[i], g[j]) >= 0.8}
+    sets = line_dedup.shingle_sets(lines)
+    assert set(zip(*(v.tolist() for v in line_dedup.similar_pairs(sets, 0.8, columns=50)))) == want
+    assert {(i, j) for i in range(len(g)) for j in range(i) if line_dedup.jaccard(sets[i], sets[j]) >= 0.8} == want
 
 
 # Mixing.

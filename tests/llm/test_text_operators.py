@@ -245,6 +245,48 @@ def test_plan_places_every_rank_once(seed):
     assert left == hist and max(fill.values()) <= 100
 
 
+def fewest_bins(items, capacity):
+    """By trying every way."""
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            bins[k] += items[i]
+            place(i + 1, bins)
+            bins[k] -= items[i]
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bins_against_every_way_to_pack(seed):
+    rng = np.random.default_rng(seed)
+    for low, slack in ((11, 0), (1, 1)):  # above a third of the capacity, two at most meet: pairing is best
+        items = sorted(rng.integers(low, 31, 8).tolist(), reverse=True)
+        plan = packing.plan_bins(dict(Counter(items)), 30)
+        used = 1 + max(p[3] + (p[2] - p[1] - 1) // p[4] for p in plan)
+        least = fewest_bins(items, 30)
+        assert least <= used <= least + slack
+
+
+def test_salts_and_clashing_columns_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = packing.tokenize_pieces(docs, TOK, 256).drop("ids").withColumn("sequence_id", F.lit("clash")).withColumn("salt", F.lit(1)).withColumn("rank", F.lit(2))
+    for salt_rows in (3, 1 << 16):
+        out = packing.pack(pieces, 256, salt_rows)
+        assert out.columns == ["doc_id", "piece", "start", "length", "salt", "rank", "sequence_id", "offset"]
+        rows = out.collect()
+        assert len(rows) == pieces.count() and check_packed(rows, 256) <= 1.02 * (sum(r["length"] for r in rows) / 256) + 1
+
+
 def test_large_items_pair():
     plan = packing.plan_bins({60: 2, 40: 2, 55: 1, 30: 1}, 100)
     assert 1 + max(p[3] + (p[2] - p[1] - 1) // p[4] for p in plan) == 3
@@ -265,7 +307,7 @@ def test_exact_dedup(spark, tmp_path, weak):
     rows = [(i, t) for i, t in enumerate(["a", "b", "a", None, "", "c", "b", "a ", "x" * 9000, "x" * 9000, "d"])] + [(4, ""), (None, "d"), (None, "only")]
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "t"))
     digest = (lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 1))) if weak else None  # sixteen digests: collisions
-    out = exact_dedup(spark, str(tmp_path / "t"), max_files_per_trigger=1, **({"digest": digest} if weak else {})).collect()
+    out = exact_dedup(spark, str(tmp_path / "t"), max_bytes_per_trigger=1, **({"digest": digest} if weak else {})).collect()
     groups = brute_exact(rows)
     assert Counter((r["id"], r["text"]) for r in out) == Counter((d, t or "") for d, t in rows)
     kept = Counter(r["text"] for r in out if r["kept"])
@@ -282,6 +324,19 @@ def test_exact_dedup_empty_and_file(spark, tmp_path):
     assert exact_dedup_frame(odd_docs(spark)).count() == len(ODD) + 3
 
 
+def test_a_later_run_goes_on_from_the_state(spark, tmp_path):
+    path, home = str(tmp_path / "t"), str(tmp_path / "home")
+    first = [(1, "a"), (2, "b"), (3, "a")]
+    then = [(4, "b"), (5, "c"), (0, "a")]
+    spark.createDataFrame(first, "doc_id long, text string").coalesce(1).write.parquet(path)
+    assert {r["id"]: r["keep_id"] for r in exact_dedup(spark, path, home=home).collect()} == {1: 3, 2: 2, 3: 3}
+    spark.createDataFrame(then, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    out = exact_dedup(spark, path, home=home).collect()
+    assert {r["id"]: (r["keep_id"], r["group_size"]) for r in out} == {0: (3, 3), 1: (3, 3), 2: (4, 2), 3: (3, 3), 4: (4, 2), 5: (5, 1)}
+    again = exact_dedup(spark, path, home=home).collect()  # nothing new
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_held_out_remainder(spark):
     got = {r["doc_id"]: r["m"] for r in spark.range(50).select(F.col("id").alias("doc_id"), language_id.remainder(F.col("id")).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}

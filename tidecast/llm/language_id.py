@@ -18,7 +18,8 @@ picked by hash over the whole table; each is read whole.
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if there is nothing to learn from; a null id counts as the
 empty text for the held-out remainder; repeated rows are scored alike; texts of
-any length are scored whole, in bounded segments; an empty table gives no rows.
+any length are scored whole, in bounded segments; an empty table gives no rows;
+of the input's columns only lang_pred and score are replaced.
 """
 
 from __future__ import annotations

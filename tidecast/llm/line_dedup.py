@@ -258,13 +258,13 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, columns: int = 4096
     return np.nonzero(np.tril(both / np.maximum(either, 1).astype(np.float64) >= similarity, -1))
 
 
-def bucket_edges(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512) -> DataFrame:
-    """Edges whose components are those of all pairs inside each bucket of ``members`` (bucket, key, root, n)."""
+def bucket_edges(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512, total: int = 0, task_rows: int = 2048) -> DataFrame:
+    """Edges whose components are those of all pairs inside each bucket of ``members`` (bucket, key, root, n; ``total`` rows)."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(4)), blocks).cast("int")
     rows = members.select("bucket", "key", "root", "n", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    few = F.pmod(F.xxhash64("bucket"), F.lit(4 * bucket_count(members.sparkSession)))
+    few = F.pmod(F.xxhash64("bucket"), F.lit(max(4 * bucket_count(members.sparkSession), -(-total // task_rows))))
     # Small buckets share a task; a pair of blocks of a large bucket has its own.
     task = F.when(F.col("n") <= block, few).otherwise(F.xxhash64("bucket", i, j))
     rows = rows.select("bucket", i.alias("i"), j.alias("j"), "own", "key", "root", task.alias("task")).join(texts, "key")
@@ -307,12 +307,13 @@ def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, simil
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
         F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
     ).where("lo < hi")
-    once = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("bucket"))
+    once = written(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("bucket")), "line-mixed-buckets")
+    left = once.agg(F.sum("n").alias("n")).first()["n"] or 0
     rest = told.join(once.select("bucket", "n"), F.col("band") == F.col("bucket")).select("bucket", "key", "root", "n")
-    more = bucket_edges(rest, texts, sets_of, similarity, block)
+    more = bucket_edges(rest, texts, sets_of, similarity, block, left)
     all_edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     out = connected_components(all_edges)
-    drop(told, roots)
+    drop(told, roots, once)
     return out
 
 

@@ -15,7 +15,8 @@ still consumes its characters.  Offsets are code points, end exclusive.
 
 Defined results: null and empty texts have no spans; texts of any length are
 scanned whole; repeated rows give repeated results; a null id is passed on; an
-empty table gives an empty result; other columns of the input are passed on.
+empty table gives an empty result; other columns of the input are passed on, but
+for one named like the output, which is replaced.
 """
 
 from __future__ import annotations

@@ -4,7 +4,13 @@ A sketch has ``depth`` rows of ``2 ** log_width`` cells; all that is asked of it
 whether a count may be two or more.  A partition puts out, for each slice of the
 cell space, the cells it hit once and those it hit again, as gaps; one task merges one
 slice, so no task or driver ever holds more than the sketch itself, whose size
-is set by ``log_width`` (at most ``MOST_LOG_WIDTH``) and not by the corpus.
+is set by ``log_width`` (at most ``MOST_LOG_WIDTH``) and not by the corpus.  Where
+a corpus has far more items than cells, such a sketch rules out less: it makes
+more work and never a wrong result.  ``CountMin`` is the form that each task keeps
+for its own share, and which is sized for it.
+
+Defined results: nulls are not counted; a value met again counts again; an empty
+table gives a sketch that holds nothing.
 """
 
 from __future__ import annotations
