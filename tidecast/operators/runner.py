@@ -73,9 +73,8 @@ def forecast_origin(arm: Arm, y: np.ndarray, x: np.ndarray | None, o: int, h: in
         return float(path[-1])
     z = _design(y, x, arm.lags)
     if arm.policy == "direct_average":
-        total = np.cumsum(np.concatenate([[0.0], y]))
         mean = np.full(len(y), np.nan)  # of the h values after each row, kept where the last of them is
-        mean[h:] = (total[h + 1 :] - total[1 : len(y) - h + 1]) / h
+        mean[h:] = np.lib.stride_tricks.sliding_window_view(y[1:], h).mean(1)
         return _direct(spec, params, z, mean, o, h, fit_from)
     if arm.policy == "path_average":
         return float(np.mean([_direct(spec, params, z, y, o, s, fit_from) for s in range(1, h + 1)]))
