@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -397,13 +396,14 @@ def test_pipeline_stages(spark, tmp_path):
     lines = p.without_repeated_lines(spark, told, SF)
     assert lines.count() == told.count() and lines.columns == list(p.COLUMNS)
     kept = p.one_of_each_group(spark, lines, SF)
-    groups = simhash.simhash_components(lines).where("doc_id IS NOT NULL").select("component_id").distinct().count()
-    assert kept.where("doc_id IS NOT NULL").count() == groups
+    left = lines.collect()  # ids are not unique here: rows are told apart by their place
+    groups = brute_near_groups([(i, r["text"]) for i, r in enumerate(left)])
+    assert kept.count() == len(groups) and kept.where("doc_id IS NOT NULL").count() == sum(any(left[i]["doc_id"] is not None for i in g) for g in groups)
     mixed = p.mixed(spark, kept, SF)
     assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in kept.collect()}
     packed = p.packed(spark, mixed, SF)
     assert packed.where("piece = 0").count() == mixed.count()
-    assert hashlib.sha256(b"".join(r["ids"] for r in packed.limit(5).collect())).hexdigest()
+    assert packed.where("octet_length(ids) <> 4 * length").count() == 0 and packed.where("piece = 0 AND start <> 0").count() == 0
 
 
 # Near-duplicate stage.
