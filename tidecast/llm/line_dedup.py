@@ -355,7 +355,8 @@ def line_dedup(
     drop(occurrences, firsts)
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(F.struct(*[F.col(c) for c in others]).alias("own"), text.alias("text"), row.alias("row"))
-    joined = own.join(gone, F.col("row") == F.col("gone_row"), "left")
+    # Dealt by row at every size: a broadcast would suit small inputs only.
+    joined = own.join(gone.hint("merge"), F.col("row") == F.col("gone_row"), "left")
     left = F.expr(
         "CASE WHEN gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), "
         "(x, i) -> coalesce(shiftrightunsigned(get(gone, CAST(i DIV 64 AS INT)), i % 64) & 1, 0) = 0), '\\n') END"
