@@ -44,7 +44,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.select(*COLUMNS, row_hash(F.col("doc_id"), F.col("text")).alias("row"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     keep = near_components(rows).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.row").alias("kept_row"))
-    first = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    # Joined by row alone, so that rows are dealt once, for the join and for what repeats.
+    same_id = F.coalesce(F.col("doc_id") == F.col("id"), F.col("doc_id").isNull() & F.col("id").isNull())
+    first = rows.join(keep, (F.col("row") == F.col("kept_row")) & same_id, "left_semi")
     return first.dropDuplicates(["doc_id", "row"]).select(*COLUMNS)  # rows that repeat the kept one
 
 

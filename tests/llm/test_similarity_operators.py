@@ -449,3 +449,33 @@ def test_near_groups_are_those_of_brute_force_jaccard(spark):
     want = brute_near_groups(rows)
     kept = {r["doc_id"] for r in p.one_of_each_group(spark, docs, SF).collect()}
     assert kept == {min(g) for g in want}
+
+
+def test_different_documents_open_no_bucket_however_many_shingles(spark, monkeypatch):
+    from tidecast.llm import near_dedup, sketch
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 1 << 40, 200)) for _ in range(300)]  # 58,800 shingles
+    texts += [texts[0] + " more", texts[1] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(sketch, "MOST_LOG_WIDTH", 13)  # a bounded sketch is full
+    buckets, members = [], near_dedup.bucket_members
+
+    def spy(rows):
+        buckets.extend(r["key"] for r in rows.collect() if r["bands"])
+        return members(rows)
+
+    monkeypatch.setattr(near_dedup, "bucket_members", spy)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs).collect()}
+    assert got == {i: i for i in range(300)} | {300: 0, 301: 1} and len(buckets) == 4
+
+
+def test_shared_shingles_are_told_in_small_ranges(spark, monkeypatch):
+    import corpus_pipeline as p
+    from tidecast.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_PER_TASK", 50)  # many chunks and ranges
+    test_near_groups_are_those_of_brute_force_jaccard(spark)
+    again = [(i % 3, f"one two three four five six seven {i % 3}", "en", "s", 1) for i in range(9)] + [(None, "a b", "en", "s", 1)] * 2
+    docs = spark.createDataFrame(again, DOC)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in p.one_of_each_group(spark, docs, SF).collect()) == [(False, 0), (False, 1), (False, 2), (True, 0)]
