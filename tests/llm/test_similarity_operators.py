@@ -479,3 +479,21 @@ def test_shared_shingles_are_told_in_small_ranges(spark, monkeypatch):
     again = [(i % 3, f"one two three four five six seven {i % 3}", "en", "s", 1) for i in range(9)] + [(None, "a b", "en", "s", 1)] * 2
     docs = spark.createDataFrame(again, DOC)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in p.one_of_each_group(spark, docs, SF).collect()) == [(False, 0), (False, 1), (False, 2), (True, 0)]
+
+
+def test_near_duplicate_stage_goes_by_simhash(spark, monkeypatch):
+    import corpus_pipeline as p
+    from tidecast.llm import near_dedup, simhash
+
+    rng = np.random.default_rng(6)
+    base = [[f"w{v}" for v in rng.integers(0, 1 << 40, 400)] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w, "end"]) for w in base]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    fp = [simhash.majority(near_dedup.shingle_set(t)) for t in texts]
+    near = {i for i in range(30) if (fp[i] ^ fp[i + 30]).bit_count() <= near_dedup.RADIUS}
+    assert len(near) > 15
+    # Without the join that follows, what SimHash links is found, and nothing else.
+    buckets = near_dedup.prefix_buckets
+    monkeypatch.setattr(near_dedup, "prefix_buckets", lambda *a: near_dedup.written(buckets(*a).where("false"), "none"))
+    kept = {r["doc_id"] for r in p.one_of_each_group(spark, docs, SF).collect()}
+    assert kept == set(range(60)) - {i + 30 for i in near}

@@ -294,9 +294,12 @@ def line_components(rows: DataFrame, occurrences: DataFrame, shingle: int, simil
     return roots
 
 
-def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512) -> DataFrame:
-    """node, root of the similar pairs of every bucket of ``members`` (band, leader, key); ``texts`` is key, said."""
-    pairs = members.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+def bucket_components(members: DataFrame, texts: DataFrame, sets_of: Sets, similarity: float, block: int = 512, proposed: DataFrame | None = None) -> DataFrame:
+    """node, root of the similar pairs of every bucket of ``members`` (band, leader, key), and of the pairs ``proposed`` (leader, key); ``texts`` is key, said."""
+    pairs = members.select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    if proposed is not None:
+        pairs = pairs.unionByName(proposed.select(F.col("leader").alias("a"), F.col("key").alias("b")))
+    pairs = pairs.distinct()
     roots = connected_components(verified_pairs(pairs, texts, sets_of, similarity))
     # Every line has been held against its bucket's leader.  What is left to compare are
     # the others of a bucket that lie in different components; each set of them once.

@@ -1,10 +1,15 @@
-"""Near-duplicate documents: all pairs of word-shingle Jaccard 0.8 or more, without a miss.
+"""Near-duplicate documents: SimHash with sharded BK-trees, then an exact join; all pairs of word-shingle Jaccard 0.8 or more.
 
 A document is the set of its shingles of ``words`` ASCII-lower-cased words (a
 shorter text is its own single shingle, a wordless one the empty set).  Texts
 with equal sets are one node.
 
-Candidates come from prefixes: when every set is sorted by one common order, two
+SimHash comes first: each set has a fingerprint of 64 bits (a bit is 1 if set in over
+half of its shingles' hashes), and sets with equal fingerprints, or with such as the
+sharded BK-trees of ``simhash`` link at ``RADIUS`` or fewer bits, are proposed as
+pairs.  Proposed pairs are verified exactly, as all others are.
+
+The join then finds the pairs that no radius would.  Its candidates come from prefixes: when every set is sorted by one common order, two
 sets with Jaccard t or more share a shingle among the first n - ceil(t * n) + 1
 of each.  The order starts with the shingles whose hash lies in the lowest
 ``REGION`` of all numbers, and of these with those that stand in one set only;
@@ -41,9 +46,10 @@ from pyspark.sql import functions as F
 
 from ._common import drop, lean, small_batches, written
 from .line_dedup import _BASE, _mix, _signed, bucket_components, bucket_members
+from .simhash import hamming_edges, majority
 from .sketch import key_filter, may_hold
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 3
 REGION = 0x66666666  # of 2**32: the share of the hashes that are counted
 _PER_TASK = 1 << 20  # shingles
 
@@ -91,23 +97,24 @@ def _in_region(h: np.ndarray) -> int:
 
 
 def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row (hash of id and text), key (hash of the set), n (its size), low (those in the region)."""
+    """doc_id, row (hash of id and text), key (hash of the set), n (its size), low (those in the region), fp (SimHash)."""
 
     @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, n, low = [], [], []
+            keys, n, low, fp = [], [], [], []
             for x in batch.column(2):
                 h = shingle_set(x.as_py(), words)
                 keys.append(_key(h))
                 n.append(len(h))
                 low.append(_in_region(h))
+                fp.append(majority(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(_signed(keys)), pa.array(n, pa.int64()), pa.array(low, pa.int64())],
-                names=["doc_id", "row", "key", "n", "low"],
+                [batch.column(0), batch.column(1), pa.array(_signed(keys)), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(_signed(fp))],
+                names=["doc_id", "row", "key", "n", "low", "fp"],
             )
 
-    return _rows(docs).mapInArrow(batches, "doc_id long, row long, key long, n long, low long")
+    return _rows(docs).mapInArrow(batches, "doc_id long, row long, key long, n long, low long, fp long")
 
 
 def _dealt(h: np.ndarray, keys: np.ndarray, ranges: int, salt: int) -> Iterator[tuple[int, int, bytes, bytes, bytes | None]]:
@@ -239,19 +246,35 @@ def sets_of(docs: DataFrame, one: DataFrame, keys: DataFrame, words: int) -> Dat
     return table
 
 
+def simhash_pairs(one: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """leader, key: pairs of sets whose fingerprints are equal or linked by the BK-trees; a written table.
+
+    Each class of equal fingerprints is led by its smallest key; two classes are linked by their leaders.
+    """
+    classes = written(one.groupBy("fp").agg(F.min("key").alias("leader")), "set-fingerprints")
+    equal = one.join(classes, "fp").where(F.col("key") != F.col("leader")).select("leader", "key")
+    side = lambda c, name: classes.select(F.col("fp").alias(c), F.col("leader").alias(name))
+    linked = hamming_edges(classes.select("fp"), radius).distinct().join(side("a", "leader"), "a").join(side("b", "key"), "b")
+    out = written(equal.unionByName(linked.select("leader", "key")), "simhash-pairs")
+    drop(classes)
+    return out
+
+
 def near_components(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, row, root (of the component), component_id: one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     sizes = written(set_sizes(docs, words), "set-sizes")
-    one = sizes.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("low").alias("low"))
+    one = sizes.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("fp").alias("fp"))
     one = written(one, "set-rows")
     bands = prefix_buckets(docs, one, similarity, words)
     members = written(bucket_members(bands), "set-buckets")
     drop(bands)
-    keys = members.select("key").union(members.select("leader")).distinct()
+    proposed = simhash_pairs(one)
+    both = members.select("leader", "key").unionByName(proposed)
+    keys = both.select("key").union(both.select("leader")).distinct()
     texts = sets_of(docs, one, keys, words)
-    roots = bucket_components(members, texts, _sets, similarity, 256)
-    drop(members, texts, one)
+    roots = bucket_components(members, texts, _sets, similarity, 256, proposed)
+    drop(members, proposed, texts, one)
     placed = sizes.select("doc_id", "row", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     placed = written(placed.select("doc_id", "row", F.coalesce("root", "key").alias("root")), "set-roots")
     drop(sizes, roots)

@@ -41,6 +41,15 @@ from .components import UnionFind, connected_components
 _SEGMENT = 1 << 16
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), _SEGMENT):
+        bits = np.unpackbits(h[i : i + _SEGMENT].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit SimHash of a whole text."""
     from xxhash import xxh64_intdigest
@@ -51,11 +60,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     n = max(1, len(w) - words + 1)
     shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
     h = np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, _SEGMENT):
-        bits = np.unpackbits(h[i : i + _SEGMENT].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
