@@ -52,9 +52,14 @@ def panel_snapshots(raw: DataFrame, clean: DataFrame) -> DataFrame:
 def cleaning_effect_summary(raw: DataFrame, clean: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """series: cells that were filled, taken away or changed, and rows that went."""
     a, b = (melt(p, value_columns(p, columns), [DATE]) for p in (raw, clean))
-    j = a.select("series", DATE, F.col("value").alias("x")).join(b.select("series", DATE, F.col("value").alias("y"), F.lit(1).alias("there")), ["series", DATE], "left")
-    x, y, there = F.col("x"), F.col("y"), F.col("there").isNotNull()
-    return j.groupBy("series").agg(
+    j = a.select("series", DATE, F.col("value").alias("raw")).join(b.select("series", DATE, F.col("value").alias("clean"), F.lit(1).alias("there")), ["series", DATE], "left")
+    return cell_effects(j)
+
+
+def cell_effects(cells: DataFrame) -> DataFrame:
+    """The same of cells series, date, raw, clean, there (null where the row went)."""
+    x, y, there = F.col("raw"), F.col("clean"), F.col("there").isNotNull()
+    return cells.groupBy("series").agg(
         F.count_if(x.isNull() & y.isNotNull()).alias("n_imputed"), F.count_if(x.isNotNull() & there & y.isNull()).alias("n_removed"),
         F.count_if(x.isNotNull() & y.isNotNull() & (x != y)).alias("n_changed"), F.count_if(~there).alias("n_rows_dropped"),
     )

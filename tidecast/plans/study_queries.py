@@ -203,16 +203,26 @@ query("test_var_residuals")(lambda s, d: joint_tests.var_residual_tests(order_pa
 _RAW = L + ", cl AS (SELECT date, series, CASE WHEN value IS NULL THEN avg(value) OVER (PARTITION BY series) WHEN value > 2 * avg(value) OVER (PARTITION BY series) THEN NULL ELSE value END AS value FROM olong)"
 
 
-def _cleaned(s, d):
+def _clean_column(p):
     w = Window.partitionBy()
-    return order_panel(s, d).select("date", *[F.when(F.col(p).isNull(), F.avg(p).over(w)).when(F.col(p) > 2 * F.avg(p).over(w), None).otherwise(F.col(p)).alias(p) for p in P])
+    return F.when(F.col(p).isNull(), F.avg(p).over(w)).when(F.col(p) > 2 * F.avg(p).over(w), None).otherwise(F.col(p))
+
+
+def _cleaned(s, d):
+    return order_panel(s, d).select("date", *[_clean_column(p).alias(p) for p in P])
+
+
+def _cleaned_cells(s, d):
+    """series, date, raw, clean, there of one computation of the panel."""
+    pairs = order_panel(s, d).select("date", *[F.struct(F.col(p).alias("raw"), _clean_column(p).alias("clean")).alias(p) for p in P])
+    return pairs.where("date IS NOT NULL").unpivot(["date"], P, "series", "cell").select("series", "date", "cell.raw", "cell.clean", F.lit(1).alias("there"))
 
 
 query("analysis_panel_snapshots", _RAW + " SELECT 'raw' AS stage, count(DISTINCT date) AS n_rows, count(DISTINCT series) AS n_series, count(*) AS n_cells, count(*) - count(value) AS n_missing, min(date) AS first, max(date) AS last FROM olong UNION ALL SELECT 'clean', count(DISTINCT date), count(DISTINCT series), count(*), count(*) - count(value), min(date), max(date) FROM cl")(
     lambda s, d: suites.panel_snapshots(order_panel(s, d), _cleaned(s, d))
 )
 query("analysis_cleaning_effects", _RAW + " SELECT series, count(*) FILTER (o.value IS NULL AND c.value IS NOT NULL) AS n_imputed, count(*) FILTER (o.value IS NOT NULL AND c.value IS NULL) AS n_removed, count(*) FILTER (o.value <> c.value) AS n_changed, 0::BIGINT AS n_rows_dropped FROM olong o JOIN cl c USING (series, date) GROUP BY 1")(
-    lambda s, d: suites.cleaning_effect_summary(order_panel(s, d), _cleaned(s, d))
+    lambda s, d: suites.cell_effects(_cleaned_cells(s, d))
 )
 query("diagnostic_factor_loadings", L + " " + " UNION ALL ".join(f"SELECT '{f}' AS factor, '{x}' AS source, corr({f}, {x}) AS loading, count(*) FILTER ({f} IS NOT NULL AND {x} IS NOT NULL) AS n FROM wide" for f in ("p1", "p2") for x in ("p3", "p4", "p5")), "loading")(
     lambda s, d: suites.factor_loadings(order_panel(s, d), ["p3", "p4", "p5"], ["p1", "p2"])
