@@ -65,7 +65,7 @@ def test_entry_point(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["analysis_cleaning_effects"])
+@pytest.mark.parametrize("name", ["analysis_cleaning_effects", "analysis_changed_cells"])
 def test_cells_are_compared_within_one_computation(spark, duck, monkeypatch, name):
     """A panel that is computed twice may differ in the last bits, as the order of its sums is not fixed."""
     from pyspark.sql import functions as F
@@ -86,3 +86,13 @@ def test_cells_are_compared_within_one_computation(spark, duck, monkeypatch, nam
     monkeypatch.setattr(panel_queries, "ship_panel", slightly_off(panel_queries.ship_panel))
     got, want = QUERIES[name](spark, SF).toPandas(), duck[SF].sql(ORACLE_SQL[name]).df()
     assert calls and rows(got.astype(object)) == rows(want.astype(object))
+
+
+def test_changed_cells_of_odd_values(spark):
+    from tidecast.operators import analysis
+
+    nan, inf = math.nan, math.inf
+    cells = [("a", 1, 1.0, 1.0), ("a", 2, nan, nan), ("a", 3, inf, inf), ("a", 4, None, 2.0), ("a", 5, 2.0, None), ("a", 6, None, None), ("a", 7, 1.0, nan), ("a", None, 1.0, 2.0), (None, 1, 1.0, 2.0)]
+    df = spark.createDataFrame(cells, "series string, date int, raw double, clean double")
+    got = {r["date"]: r["changed"] for r in analysis.cell_changes(df).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False, 7: True}

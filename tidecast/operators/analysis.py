@@ -91,15 +91,32 @@ def correlation_pairs(long: DataFrame, method: str = "pearson", min_periods: int
 correlation_matrix = correlation_pairs
 
 
+def joined_cells(raw: DataFrame, clean: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
+    """series, date, raw, clean over the cells of both long panels.
+
+    Spark computes each side by itself, and sums of doubles may then differ in the last bits: where both come from
+    one aggregate, carry the raw value along and give such cells of one computation to ``cell_changes`` and the like.
+    """
+    return raw.select(*by, DATE, F.col("value").alias("raw")).join(clean.select(*by, DATE, F.col("value").alias("clean")), [*by, DATE])
+
+
+def cell_changes(cells: DataFrame, tolerance: float = 0.0, by: Sequence[str] = KEY) -> DataFrame:
+    """series, date, changed of cells (series, date, raw, clean) whose keys are known; a NaN equals a NaN."""
+    same = F.col("raw").eqNullSafe(F.col("clean")) | F.coalesce(F.abs(F.col("raw") - F.col("clean")) <= tolerance, F.lit(False))
+    return cells.dropna(subset=[*by, DATE]).select(*by, DATE, (~same).alias("changed"))
+
+
 def changed_cells(raw: DataFrame, clean: DataFrame, tolerance: float = 0.0, by: Sequence[str] = KEY) -> DataFrame:
     """series, date, changed over the cells of both long panels."""
-    j = raw.select(*by, DATE, F.col("value").alias("r")).join(clean.select(*by, DATE, F.col("value").alias("c")), [*by, DATE])
-    same = F.when(F.col("r").isNull() | F.col("c").isNull(), F.col("r").eqNullSafe(F.col("c"))).otherwise(F.abs(F.col("r") - F.col("c")) <= tolerance)
-    return j.select(*by, DATE, (~same).alias("changed"))
+    return cell_changes(joined_cells(raw, clean, by), tolerance, by)
+
+
+def change_summary(changed: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
+    return changed.groupBy(*by).agg(F.count_if("changed").alias("n_changed"), F.avg(F.col("changed").cast("double")).alias("change_rate"))
 
 
 def changed_cell_summary(raw: DataFrame, clean: DataFrame, tolerance: float = 0.0, by: Sequence[str] = KEY) -> DataFrame:
-    return changed_cells(raw, clean, tolerance, by).groupBy(*by).agg(F.count_if("changed").alias("n_changed"), F.avg(F.col("changed").cast("double")).alias("change_rate"))
+    return change_summary(changed_cells(raw, clean, tolerance, by), by)
 
 
 def changed_cell_count(raw: DataFrame, clean: DataFrame, tolerance: float = 0.0) -> DataFrame:

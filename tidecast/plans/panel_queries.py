@@ -272,8 +272,16 @@ query("analysis_correlation_spearman", L + ", j AS (SELECT x.series AS a, y.seri
     lambda s, d: analysis.correlation_pairs(order_long(s, d), "spearman")
 )
 _CH = f"WITH {SHIP_SQL}, c AS (SELECT series, date, coalesce(value, avg(value) OVER (PARTITION BY series)) AS value FROM panel) "
+
+
+def _imputed_cells(s, d):
+    """series, date, raw, clean of one computation of the panel."""
+    filled = clean.mean_impute_clean(ship_panel(s, d).withColumn("raw", F.col("value")), ["value"], BY)
+    return filled.select("series", "date", "raw", F.col("value").alias("clean"))
+
+
 query("analysis_changed_cells", _CH + "SELECT series, count(*) FILTER (p.value IS DISTINCT FROM c.value) AS n_changed, avg((p.value IS DISTINCT FROM c.value)::INT) AS change_rate FROM panel p JOIN c USING (series, date) GROUP BY 1", "change_rate")(
-    lambda s, d: analysis.changed_cell_summary(ship_panel(s, d), clean.mean_impute_clean(ship_panel(s, d), ["value"], BY))
+    lambda s, d: analysis.change_summary(analysis.cell_changes(_imputed_cells(s, d)))
 )
 query("analysis_distribution_shift", _CH + """, u AS (SELECT series, value, sum(a) AS na, sum(1 - a) AS nb FROM (SELECT series, value, 1 AS a FROM panel WHERE value IS NOT NULL UNION ALL SELECT series, value, 0 FROM c WHERE value IS NOT NULL) GROUP BY 1, 2),
 k AS (SELECT series, abs(sum(na) OVER r / sum(na) OVER p - sum(nb) OVER r / sum(nb) OVER p) AS d FROM u WINDOW p AS (PARTITION BY series), r AS (PARTITION BY series ORDER BY value ROWS UNBOUNDED PRECEDING)),
