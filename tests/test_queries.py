@@ -65,7 +65,7 @@ def test_entry_point(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["analysis_cleaning_effects", "analysis_changed_cells"])
+@pytest.mark.parametrize("name", ["analysis_cleaning_effects", "analysis_changed_cells", "analysis_distribution_shift"])
 def test_cells_are_compared_within_one_computation(spark, duck, monkeypatch, name):
     """A panel that is computed twice may differ in the last bits, as the order of its sums is not fixed."""
     from pyspark.sql import functions as F

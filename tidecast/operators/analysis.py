@@ -131,6 +131,11 @@ def missing_shift(raw: DataFrame, clean: DataFrame, by: Sequence[str] = KEY) ->
 def ks_statistic(raw: DataFrame, clean: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """Largest distance of the two empirical distribution functions per series."""
     rows = raw.where("value IS NOT NULL").select(*by, "value", F.lit(1).alias("a")).unionByName(clean.where("value IS NOT NULL").select(*by, "value", F.lit(0).alias("a")))
+    return _ks(rows, by)
+
+
+def _ks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of rows ``value`` with a = 1 on one side and 0 on the other."""
     g = rows.groupBy(*by, "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
     w = Window.partitionBy(*by)
     run = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,6 +149,16 @@ def distribution_shift(raw: DataFrame, clean: DataFrame, by: Sequence[str] = KEY
     return j.select(*by, (F.col("clean_mean") - F.col("raw_mean")).alias("mean_change"), ratio(F.col("clean_sd"), F.col("raw_sd")).alias("sd_ratio"), "ks")
 
 
+def cell_distribution_shift(cells: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
+    """``distribution_shift`` of cells (series, raw, clean) of one computation, whose keys are known."""
+    known = cells.dropna(subset=list(by))
+    m = known.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in ("raw", "clean") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    side = lambda c, a: F.struct(F.col(c).alias("value"), F.lit(a).alias("a"))
+    rows = known.select(*by, F.explode(F.array(side("raw", 1), side("clean", 0))).alias("x")).select(*by, "x.value", "x.a").where("value IS NOT NULL")
+    j = m.join(_ks(rows, by), list(by))
+    return j.select(*by, (F.col("clean_mean") - F.col("raw_mean")).alias("mean_change"), ratio(F.col("clean_sd"), F.col("raw_sd")).alias("sd_ratio"), "ks")
+
+
 def correlation_shift(raw: DataFrame, clean: DataFrame, method: str = "pearson") -> DataFrame:
     a, b = correlation_pairs(raw, method), correlation_pairs(clean, method)
     return a.select("a", "b", F.col("corr").alias("r")).join(b.select("a", "b", F.col("corr").alias("c")), ["a", "b"]).select("a", "b", (F.col("c") - F.col("r")).alias("shift"))

@@ -287,7 +287,7 @@ query("analysis_distribution_shift", _CH + """, u AS (SELECT series, value, sum(
 k AS (SELECT series, abs(sum(na) OVER r / sum(na) OVER p - sum(nb) OVER r / sum(nb) OVER p) AS d FROM u WINDOW p AS (PARTITION BY series), r AS (PARTITION BY series ORDER BY value ROWS UNBOUNDED PRECEDING)),
 a AS (SELECT series, avg(value) AS m, stddev_samp(value) AS s FROM panel GROUP BY 1), b AS (SELECT series, avg(value) AS m, stddev_samp(value) AS s FROM c GROUP BY 1)
 SELECT series, b.m - a.m AS mean_change, b.s / nullif(a.s, 0) AS sd_ratio, ks FROM a JOIN b USING (series) JOIN (SELECT series, max(d) AS ks FROM k GROUP BY 1) USING (series)""", "mean_change sd_ratio ks")(
-    lambda s, d: analysis.distribution_shift(ship_panel(s, d), clean.mean_impute_clean(ship_panel(s, d), ["value"], BY))
+    lambda s, d: analysis.cell_distribution_shift(_imputed_cells(s, d))
 )
 _AC = f"WITH {ORDER_LONG_SQL}, e AS (SELECT series, date, value - avg(value) OVER (PARTITION BY series) AS e FROM olong WHERE value IS NOT NULL) "
 query("analysis_acf", _AC + ", " + ", ".join(f"l{k} AS (SELECT series, count(*) AS n, {k} AS lag, sum(e * b) / sum(e * e) AS acf FROM (SELECT *, lag(e, {k}) OVER ({W}) AS b FROM e) GROUP BY 1)" for k in (1, 2, 3)) + " SELECT *, 1.959963984540054 / sqrt(n) AS band FROM (" + " UNION ALL ".join(f"FROM l{k}" for k in (1, 2, 3)) + ")", "acf band")(
