@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidecast.llm import ann, line_dedup, mixing, simhash, sketch, substring_dedup
+from tidecast.llm import ann, components, line_dedup, mixing, simhash, sketch, substring_dedup
+from tidecast.llm._common import written
 from tidecast.llm.components import UnionFind, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,19 @@ def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_components_hold_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(components, "written", noted)
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b").mapInArrow(lambda it: it, "a long, b long")
+    assert {r["root"] for r in connected_components(edges).collect()} == {0}
+    assert max(p.count("MapInArrow") for p in plans) == 1
+
+
 # SimHash.
 
 

@@ -287,6 +287,14 @@ def test_salts_and_clashing_columns_do_not_matter(spark):
         assert len(rows) == pieces.count() and check_packed(rows, 256) <= 1.02 * (sum(r["length"] for r in rows) / 256) + 1
 
 
+def test_packing_starts_no_second_python_daemon(spark):
+    pieces = spark.range(50).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "id % 7 + 1 AS length")
+    plan = packing.pack(pieces, 16)
+    assert plan.count() == 50
+    assert packing.pack(pieces.limit(0), 16).count() == 0
+    assert "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_large_items_pair():
     plan = packing.plan_bins({60: 2, 40: 2, 55: 1, 30: 1}, 100)
     assert 1 + max(p[3] + (p[2] - p[1] - 1) // p[4] for p in plan) == 3

@@ -1,7 +1,8 @@
 """Distributed union-find: connected components of an edge table.
 
-Edges are first contracted inside each partition by a local union-find, which
-puts out at most one edge per node.  Then large-star and small-star rounds run
+Edges are written, and contracted inside each partition by a local union-find, which
+puts out at most one edge per node.  (What made the edges may run Python too; two
+workers a core would then be held at a time, and workers outlive their tasks.)  Then large-star and small-star rounds run
 until every component is a star around its smallest node; every round is written
 to the shared folder, so a lost executor costs one round at most, and nothing of
 the graph reaches the driver but one count.  A round's table is deleted once the
@@ -75,8 +76,9 @@ def _not_stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of the component) for every node that has an edge to another."""
     own = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
-    own = own.where(F.col("a") != F.col("b"))
-    now = written(own.mapInArrow(_contract, "a long, b long"), "edges")  # a > b
+    made = written(own.where(F.col("a") != F.col("b")), "edges")
+    now = written(made.mapInArrow(_contract, "a long, b long"), "edges")  # a > b
+    drop(made)
     while _not_stars(now):
         # Large star: every neighbour above u goes to the smallest around u.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import lean, small_batches, written
@@ -211,6 +211,11 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
+def _longs(spark: SparkSession, names: list[str], rows: list[tuple[int, ...]]) -> DataFrame:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = 1 << 10) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, any more) with sequence_id and offset."""
     spark = pieces.sparkSession
@@ -219,9 +224,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = 1 << 10)
     hashed = F.xxhash64("doc_id", "piece", F.lit(6)).alias("hash")
     items = written(pieces.select(own, "length", hashed), "pieces")
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Both tables have some rows per length, however many pieces there are.
-    salts = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "of_length long, salts long")
-    plan = spark.createDataFrame(plan_bins(histogram, capacity), "of_length long, first long, end long, bin long, per_bin long, at long")
+    # Both tables have some rows per length, however many pieces there are.  From Arrow: from
+    # lists each executor would start a second Python daemon, with workers that stay.
+    salts = _longs(spark, ["of_length", "salts"], [(k, -(-n // salt_rows)) for k, n in histogram.items()])
+    plan = _longs(spark, ["of_length", "first", "end", "bin", "per_bin", "at"], plan_bins(histogram, capacity))
     salted = items.join(F.broadcast(salts), F.col("length") == F.col("of_length"))
     salted = salted.select("own", "length", F.pmod("hash", "salts").cast("int").alias("salt"))
     parts = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-lengths")
