@@ -328,6 +328,21 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most,times", [(1 << 17, 1), (0, 3)])
+def test_a_line_met_again_in_a_task_has_its_bands_once(spark, monkeypatch, most, times):
+    monkeypatch.setattr(line_dedup, "_CHUNK_CHARS", 10)
+    monkeypatch.setattr(line_dedup, "_MET", most)
+    text = "the same line in every row"
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate([text, "another line", text, "a third line of text", text])], "doc long, row long, text string")
+    work = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, schema: work.update(f=f))
+    line_dedup.line_occurrences(rows, 8, 10, 4)
+    (batch,) = rows.coalesce(1).toArrow().combine_chunks().to_batches()
+    out = [r for b in work["f"](iter([batch.select(["doc", "row", "text"])])) for r in b.to_pylist()]
+    assert [r["doc"] for r in out] == [0, 1, 2, 3, 4] and len({r["key"] for r in out}) == 3
+    assert sum(r["bands"] is not None for r in out if r["doc"] % 2 == 0) == times
+
+
 def test_minhash_estimates_jaccard():
     rng = np.random.default_rng(2)
     words = [f"w{i:04d}" for i in range(400)]

@@ -40,6 +40,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILL = 0x110000  # no character has this number
 _CHUNK_CHARS = 1 << 17  # what is made of a chunk stays in a core's cache
+_MET = 1 << 17  # keys a task remembers
 _LAST = (1 << 63) - 1
 Sets = Callable[[list], list[np.ndarray]]  # texts to sorted sets of shingle hashes
 
@@ -141,19 +142,23 @@ def _text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def line_occurrences(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """key, doc, row, line; and, where a key is first met in a chunk, its bands."""
+    """key, doc, row, line; and, where a key is first met in a task, its bands."""
 
     @lean
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in it:
             for first, texts in _text_chunks(batch.column(2)):
                 said = [(first + i, j, x) for i, t in enumerate(texts) if t for j, x in enumerate(t.split("\n")) if x and not x.isspace()]
                 if not said:
                     continue
-                fresh = dict.fromkeys(x for _, _, x in said)
-                lines = list(fresh)
+                lines = list(dict.fromkeys(x for _, _, x in said))
                 key_of = dict(zip(lines, _signed(_keys(lines)).tolist()))
-                sig = dict(zip(lines, minhash_bands(lines, shingle, bands, per_band).view(np.int64).tolist()))
+                fresh = [x for x in lines if key_of[x] not in met]
+                sig = dict(zip(fresh, minhash_bands(fresh, shingle, bands, per_band).view(np.int64).tolist())) if fresh else {}
+                if len(met) > _MET:  # a line met again has its bands twice, which only makes more work
+                    met.clear()
+                met.update(map(key_of.__getitem__, fresh))
                 at = pa.array([i for i, _, _ in said], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
